@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postweir.functions.text import longer_than, normalize_text
-from postweir.operators.keyed import first_per_key
+from postweir.operators.keyed import first_per_key, spread_join
 
 
 def union_sources(sources: list[DataFrame]) -> DataFrame:
@@ -25,9 +25,8 @@ def _normalized(df: DataFrame, text_col: str, more_than: int) -> DataFrame:
 
 def without_names(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """Rows whose name is not listed; rows without a name stay."""
-    nameless = df.filter(F.col(column).isNull())
     listed = names.select(column).filter(F.col(column).isNotNull()).distinct()
-    return df.filter(F.col(column).isNotNull()).join(listed, column, "left_anti").unionByName(nameless)
+    return spread_join(df, listed, [column], F.col(column).isNotNull(), "left_anti")
 
 
 def pretrain_corpus(sources: list[DataFrame], annotated: DataFrame, order: list[str], *, id_col: str = "user_id",

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from postweir.functions import geo as G
 from postweir.functions import posts as P
-from postweir.operators.keyed import first_per_key
+from postweir.operators.keyed import first_per_key, spread_join
+from postweir.session import ensure_checkpoint_dir
 
 STRIP = 0.5  # height of a lookup strip, degrees
 LEVELS = [0.5 * 2**k for k in range(11)]  # cell sizes of the nearest-polygon search; the last spans ±512 degrees
@@ -116,31 +117,44 @@ def nearest_countries(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def countries_of_points(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(lon, lat, iso_a2) of every distinct point: the polygon around it, else the nearest one."""
-    distinct = points.select("lon", "lat").filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct()
+    """(lon, lat, iso_a2) of every distinct point: the polygon around it, else the nearest one.
+
+    The points and the first answer are checkpointed: both are small next to the posts and
+    used more than once.
+    """
+    ensure_checkpoint_dir(points.sparkSession)
+    distinct = points.select("lon", "lat").filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct().checkpoint()
     edges = polygon_edges(polygons)
-    inside = countries_containing(distinct, edges)
-    outside = distinct.join(inside, ["lon", "lat"], "left_anti")
-    return inside.unionByName(nearest_countries(outside, edges).drop("distance"))
+    answered = distinct.join(countries_containing(distinct, edges), ["lon", "lat"], "left").checkpoint()
+    open_points = answered.filter(F.col("iso_a2").isNull()).select("lon", "lat")
+    nearest = nearest_countries(open_points, edges).drop("distance")
+    return answered.filter(F.col("iso_a2").isNotNull()).unionByName(nearest)
 
 
 def with_regions(df: DataFrame, countries: DataFrame, code: str = "country_code") -> DataFrame:
     """Add region and subregion by country code, from the first row of the code; unknown codes get NULL."""
     first = first_per_key(countries.filter(F.col("iso_a2").isNotNull()), ["iso_a2"], ["ord"])
-    return df.join(first.select(F.col("iso_a2").alias(code), "region", "subregion"), code, "left")
+    regions = first.select(F.col("iso_a2").alias(code), "region", "subregion")
+    return spread_join(df, regions, [code], F.col(code).isNotNull())
 
 
-def geo_candidates(post: Column) -> list[Column]:
-    """Columns (lon, lat, country_code, geo_type) from coordinates, else from the place's bounding box."""
-    coords = post["coordinates"]["coordinates"]
-    box = G.centroid(F.get(post["place"]["bounding_box"]["coordinates"], F.lit(0)))
-    by_coords, by_place = P.has_coordinates(post), P.has_place_bounding_box(post)
-    return [
-        F.when(by_coords, F.get(coords, F.lit(0))).when(by_place, box["x"]).alias("lon"),
-        F.when(by_coords, F.get(coords, F.lit(1))).when(by_place, box["y"]).alias("lat"),
-        F.when(by_coords, F.lit("")).when(by_place, post["place"]["country_code"]).alias("country_code"),
-        F.when(by_coords, 1).when(by_place, 2).otherwise(0).alias("geo_type"),
-    ]
+def with_geo_candidates(df: DataFrame, post: str = "post") -> DataFrame:
+    """Add (lon, lat, country_code, geo_type) from coordinates, else from the place's bounding box.
+
+    An empty country code asks for a lookup by position.
+    """
+    struct = F.col(post)
+    by_coords, by_place = P.has_coordinates(struct), P.has_place_bounding_box(struct)
+    # in a projection of its own, so that the centroid is computed once for both coordinates
+    box = F.get(struct["place"]["bounding_box"]["coordinates"], F.lit(0))
+    centred = df.withColumn("_centre", F.when(~by_coords & by_place, G.centroid(box)))
+    coords = struct["coordinates"]["coordinates"]
+    return centred.withColumns({
+        "lon": F.when(by_coords, F.get(coords, F.lit(0))).otherwise(F.col("_centre.x")),
+        "lat": F.when(by_coords, F.get(coords, F.lit(1))).otherwise(F.col("_centre.y")),
+        "country_code": F.when(by_coords, F.lit("")).when(by_place, struct["place"]["country_code"]),
+        "geo_type": F.when(by_coords, 1).when(by_place, 2).otherwise(0),
+    }).drop("_centre")
 
 
 def place_key(c: Column) -> Column:
@@ -150,29 +164,30 @@ def place_key(c: Column) -> Column:
 def with_gazetteer(df: DataFrame, gazetteer: DataFrame, location: str = "user_location") -> DataFrame:
     """Third step: rows still without a position take the one of their author's location.
 
-    The gazetteer is (location, lon, lat, country_code), one row per location. Only rows that have a location
-    and need it take part in the join.
+    The gazetteer is (location, lon, lat, country_code), one row per location.
     """
-    asks = (F.col("geo_type") == 0) & F.col(location).isNotNull() & (F.trim(F.col(location)) != "")
+    asks = (F.col("geo_type") == 0) & (F.trim(F.col(location)) != "")
     known = gazetteer.select(place_key(F.col("location")).alias("_key"), F.col("lon").alias("_lon"),
                              F.col("lat").alias("_lat"), F.col("country_code").alias("_code"))
-    found = df.filter(asks).withColumn("_key", place_key(F.col(location))).join(known, "_key", "left")
-    filled = found.withColumns({
-        "lon": F.col("_lon"), "lat": F.col("_lat"), "country_code": F.col("_code"),
-        "geo_type": F.when(F.col("_lon").isNotNull(), 3).otherwise(0),
+    joined = spread_join(df.withColumn("_key", place_key(F.col(location))), known, ["_key"], asks)
+    found = F.col("_lon").isNotNull()
+    filled = joined.withColumns({
+        "lon": F.coalesce("_lon", "lon"), "lat": F.coalesce("_lat", "lat"),
+        "country_code": F.when(found, F.col("_code")).otherwise(F.col("country_code")),
+        "geo_type": F.when(found, 3).otherwise(F.col("geo_type")),
     })
-    return filled.select(df.columns).unionByName(df.filter(~F.coalesce(asks, F.lit(False))))
+    return filled.select(df.columns)
 
 
 def geo_cascade(df: DataFrame, polygons: DataFrame, countries: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
-    """Complete (lon, lat, country_code, geo_type) rows to countries and regions.
+    """Complete the candidates of `with_geo_candidates` to countries and regions.
 
-    An empty country code asks for a lookup by position. Rows that need none bypass it.
+    The input is read twice: once for the distinct positions to look up, once for the result.
     """
     if gazetteer is not None:
         df = with_gazetteer(df, gazetteer)
-    asks = F.coalesce((F.col("geo_type") > 0) & (F.col("country_code") == ""), F.lit(False))
-    open_rows = df.filter(asks)
-    found = countries_of_points(open_rows, polygons)
-    solved = open_rows.join(found, ["lon", "lat"], "left").withColumn("country_code", F.col("iso_a2")).select(df.columns)
-    return with_regions(solved.unionByName(df.filter(~asks)), countries)
+    asks = (F.col("geo_type") > 0) & (F.col("country_code") == "")
+    found = countries_of_points(df.filter(asks).select("lon", "lat"), polygons)
+    joined = spread_join(df, found, ["lon", "lat"], asks)
+    solved = joined.withColumn("country_code", F.when(asks, F.col("iso_a2")).otherwise(F.col("country_code")))
+    return with_regions(solved.select(df.columns), countries)

@@ -20,6 +20,18 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def spread_join(df: DataFrame, lookup: DataFrame, keys: list[str], asks: Column, how: str = "left", spread: int = 4096) -> DataFrame:
+    """Join in which only the rows that `asks` selects can find a partner; the others pass through.
+
+    Rows that ask nothing (most posts have no position, many users no name) would all hash to one
+    partition under a NULL key. They carry a running number as a further key instead, which spreads them.
+    """
+    asks = F.coalesce(asks, F.lit(False))
+    turn = F.when(asks, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
+    left = df.withColumn("_turn", turn.cast("int"))
+    return left.join(lookup.withColumn("_turn", F.lit(0)), [*keys, "_turn"], how).drop("_turn")
+
+
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
     """Consecutive numbers from 0 in the given order, which must identify a row.
 

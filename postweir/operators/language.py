@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postweir.functions.text import collapse_spaces
+from postweir.session import broadcast_if_small, ensure_checkpoint_dir
 
 
 def trigrams(text: Column) -> Column:
@@ -22,11 +23,13 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     """(gram, lang, weight, base): add-one smoothed log probabilities.
 
     `base` is the language's value for a trigram it never saw, `weight` what a seen one adds to it.
+    The counts, far smaller than the texts, are checkpointed: the texts are read once.
     """
+    ensure_checkpoint_dir(labelled.sparkSession)
     grams = labelled.filter(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")
     )
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).checkpoint()
     vocabulary = counts.select(F.count_distinct("gram").alias("v")).scalar()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(totals, "lang").select(
@@ -34,30 +37,33 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     )
 
 
-def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
+                max_broadcast: int = 2_000_000) -> DataFrame:
     """(keys…, detected): the most likely language of each text, NULL when no trigram of it is known.
 
-    Trigrams are never shuffled while the profile is small enough to be broadcast (Spark decides
-    by its size): each text is reduced to one score per language in the map task. The profile
-    has one row per trigram and each list in it one entry per language.
+    The profile becomes one row per trigram with one weight per language. Up to `max_broadcast`
+    rows it is broadcast: the trigrams of a text then never leave the map task, which reduces them to one row
+    of scores. A larger profile is joined by shuffle, after the trigrams were counted per text.
     """
-    by_gram = profiles.groupBy("gram").agg(F.collect_list(F.struct("lang", "weight")).alias("langs"))
-    bases = profiles.groupBy("lang").agg(F.first("base").alias("base"))
-    bases = bases.select(F.collect_list(F.struct("lang", "base")).alias("b")).scalar()
+    # one row per language, some tens
+    bases = [(r["lang"], r["base"]) for r in profiles.select("lang", "base").distinct().orderBy("lang").collect()]
+    weights = profiles.groupBy("gram").agg(*[
+        F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (lang, _) in enumerate(bases)
+    ])
+    weights, small = broadcast_if_small(weights, max_broadcast)
     grams = df.select(*keys, trigrams(F.col(text)).alias("g")).select(
         *keys, F.size("g").alias("n"), F.explode("g").alias("gram")
     )
-    hits = grams.join(by_gram, "gram").select(*keys, "n", F.inline("langs"))
-    sums = hits.groupBy(*keys, "lang").agg(F.max("n").alias("n"), F.sum("weight").alias("s"))
-    scores = sums.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "s"))).alias("seen")
+    if small:
+        grams = grams.withColumn("times", F.lit(1))
+    else:
+        grams = grams.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    sums = grams.join(weights, "gram").groupBy(*keys).agg(
+        F.max("n").alias("n"), *[F.sum(F.col(f"w{i}") * F.col("times")).alias(f"s{i}") for i in range(len(bases))]
     )
-    ranked = scores.withColumn("bases", bases).withColumn("best", F.array_max(F.transform(
-        "bases",
-        lambda b: F.struct(
-            (F.coalesce(F.element_at("seen", b["lang"]), F.lit(0.0)) + F.col("n") * b["base"]).alias("score"),
-            b["lang"].alias("lang"),
-        ),
-    )))
-    found = ranked.select(*keys, F.col("best.lang").alias("detected"))
+    scores = [
+        F.struct((F.col(f"s{i}") + F.col("n") * F.lit(base)).alias("score"), F.lit(lang).alias("lang"))
+        for i, (lang, base) in enumerate(bases)
+    ]
+    found = sums.select(*keys, F.array_max(F.array(*scores))["lang"].alias("detected"))
     return df.select(*keys).join(found, keys, "left")

@@ -68,7 +68,7 @@ def geo_cascade(spark: SparkSession, sf: str) -> DataFrame:
         "c_custkey", post.alias("post"),
         F.when(segment == "MACHINERY", F.concat(F.lit(" "), F.lower("n_name"))).when(F.col("c_custkey") % 2 == 0, F.lit("nowhere")).alias("user_location"),
     )
-    candidates = posts.select("c_custkey", "user_location", *geo.geo_candidates(F.col("post")))
+    candidates = geo.with_geo_candidates(posts).drop("post")
     shapes = A.shapes(spark, sf)
     centre = G.centroid(F.element_at("rings", 1))
     gazetteer = shapes.join(nation, F.col("ord") == F.col("n_nationkey")).select(

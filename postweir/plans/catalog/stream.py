@@ -39,9 +39,9 @@ def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _capture(spark: SparkSession, sf: str) -> str:
-    """The noisy capture as files: four slots a day, even days gzipped."""
+    """The noisy capture as files: two slots a day, even days gzipped."""
     root = scratch_path(spark, "raw")
-    slot = F.lpad((F.floor(F.col("hh").cast("int") / 6) * 6).cast("string"), 2, "0")
+    slot = F.when(F.col("hh") < "12", "00").otherwise("12")
     lines = A.noisy_lines(A.raw_json(spark, sf)).select(
         F.substring("day", 1, 4).alias("y"), F.substring("day", 6, 2).alias("m"), F.substring("day", 9, 2).alias("d"),
         slot.alias("h"), "event_id", "n", "value",

@@ -6,9 +6,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "postweir", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -68,3 +71,29 @@ def ship_package(spark: SparkSession) -> None:
     )
     context.addPyFile(archive)
     context._postweir_shipped = True
+
+
+@contextmanager
+def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings for one action; dots are written as double underscores."""
+    names = {name.replace("__", "."): value for name, value in values.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+    """The table with a broadcast hint if it has at most `max_rows` rows, and whether it has.
+
+    Counting stops at the limit; give it a table that is cheap to read twice.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return (F.broadcast(df) if small else df), small

@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from postweir.session import session_conf
+
 
 def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str = "hour") -> int:
     """Write one folder per interval of `created_at`, rows sorted in each file; returns the row count.
@@ -21,14 +23,14 @@ def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str =
     if by == "hour":
         parts["hour"] = F.hour("created_at")
     placed = posts.withColumns(parts)
-    (
+    ordered = (
         placed.observe(seen, F.count(F.lit(1)).alias("rows"))
         .hint("rebalance", *parts)
         .sortWithinPartitions(*parts, "created_at")
-        .write.mode(mode)
-        .partitionBy(*parts)
-        .parquet(path)
     )
+    # few rows in many hours: opening files is the work, so small partitions stay apart
+    with session_conf(posts.sparkSession, spark__sql__adaptive__coalescePartitions__minPartitionSize="16k"):
+        ordered.write.mode(mode).partitionBy(*parts).parquet(path)
     return seen.get["rows"]
 
 
