@@ -34,7 +34,8 @@ URL_FILLER, USER_FILLER, EMAIL_FILLER = "<url>", "@user", "@email"
 
 def collapse_spaces(c: Column) -> Column:
     """Every run of whitespace becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    # single plain spaces, the common case, do not match
+    return F.trim(F.regexp_replace(c, f" [{SPACE}]+|[{SPACE}&&[^ ]][{SPACE}]*", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -157,18 +158,18 @@ def standardize(c: Column) -> Column:
     return F.coalesce(_standardize(F.when(c.rlike(r"[&\x80-\x{10FFFF}]"), c)), plain)
 
 
-def _mask(c: Column, pattern: str, filler: str) -> Column:
+def _fill(c: Column, pattern: str, filler: str) -> Column:
     masked = F.regexp_replace(c, pattern, filler)
-    return collapse_spaces(F.replace(masked, F.lit(filler), F.lit(f" {filler} ")))
+    return F.replace(masked, F.lit(filler), F.lit(f" {filler} "))
 
 
 def mask_urls(c: Column) -> Column:
-    return _mask(c, URL, URL_FILLER)
+    return collapse_spaces(_fill(c, URL, URL_FILLER))
 
 
 def mask_users(c: Column) -> Column:
     """Mask handles of up to 15 characters; the character in front of the '@' is lost with them."""
-    return _mask(c, HANDLE, USER_FILLER)
+    return collapse_spaces(_fill(c, HANDLE, USER_FILLER))
 
 
 def repair_marks(c: Column) -> Column:
@@ -177,17 +178,17 @@ def repair_marks(c: Column) -> Column:
 
 
 def mask_email(c: Column) -> Column:
-    return _mask(c, EMAIL, EMAIL_FILLER)
+    return collapse_spaces(_fill(c, EMAIL, EMAIL_FILLER))
 
 
 def anonymize(c: Column) -> Column:
-    return mask_email(mask_users(repair_marks(mask_urls(c))))
+    """URLs, then handles, then addresses; spaces are collapsed where the next step depends on it."""
+    return mask_email(_fill(repair_marks(mask_urls(c)), HANDLE, USER_FILLER))
 
 
 def preprocess(c: Column) -> Column:
     """Clean an annotation text: emoji, hashtags, characters, masks, spaces; NULL becomes ''."""
-    c = separate_hashtags(de_emojize(F.coalesce(c, F.lit(""))))
-    return collapse_spaces(anonymize(standardize(c)))
+    return anonymize(standardize(separate_hashtags(de_emojize(F.coalesce(c, F.lit(""))))))
 
 
 def longer_than(c: Column, n: int) -> Column:

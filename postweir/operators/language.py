@@ -51,16 +51,16 @@ def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str =
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (lang, _) in enumerate(bases)
     ])
     weights, small = broadcast_if_small(weights, max_broadcast)
-    grams = df.select(*keys, trigrams(F.col(text)).alias("g")).select(
-        *keys, F.size("g").alias("n"), F.explode("g").alias("gram")
-    )
+    grams = df.select(*keys, F.explode(trigrams(F.col(text))).alias("gram"))
     if small:
         grams = grams.withColumn("times", F.lit(1))
     else:
-        grams = grams.groupBy(*keys, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
-    sums = grams.join(weights, "gram").groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.sum(F.col(f"w{i}") * F.col("times")).alias(f"s{i}") for i in range(len(bases))]
-    )
+        grams = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("times"))
+    sums = grams.join(weights, "gram", "left").groupBy(*keys).agg(
+        F.sum("times").alias("n"),
+        F.count("w0").alias("known"),
+        *[F.sum(F.coalesce(f"w{i}", F.lit(0.0)) * F.col("times")).alias(f"s{i}") for i in range(len(bases))],
+    ).filter("known > 0")
     scores = [
         F.struct((F.col(f"s{i}") + F.col("n") * F.lit(base)).alias("score"), F.lit(lang).alias("lang"))
         for i, (lang, base) in enumerate(bases)

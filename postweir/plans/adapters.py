@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postweir.session import fill_cores
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table for work that is heavy per row: all cores get a share of a single file."""
+    return fill_cores(table(spark, sf_dir, name))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a string id, a plain timestamp and the integer `k` of their properties as `target`."""
     return table(spark, sf_dir, "events").select(
@@ -91,7 +98,7 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         inner("purchase").alias("quoted_status"),
         inner("view").alias("retweeted_status"),
     )
-    return events(spark, sf_dir).select("event_id", "day", "hh", "event_type", F.to_json(post).alias("line"))
+    return fill_cores(events(spark, sf_dir)).select("event_id", "day", "hh", "event_type", F.to_json(post).alias("line"))
 
 
 def noisy_lines(raw: DataFrame) -> DataFrame:
@@ -115,12 +122,12 @@ def placed_lines(lines: DataFrame) -> DataFrame:
 
 def bios(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Two bio sources: documents, and conversations whose users overlap with them."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("user_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("user_screen_name"),
         F.when(F.col("source") != "src3", F.col("text")).alias("user_description"), "lang",
         F.lit(0).cast("bigint").alias("seq"),
     )
-    talks = table(spark, sf_dir, "conversations").select(
+    talks = texts(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("user_id"),
         F.when(F.col("role") != "assistant", F.concat(F.lit("conv"), F.col("conv_id"))).alias("user_screen_name"),
         F.col("text").alias("user_description"), F.lit("en").alias("lang"), F.col("turn").alias("seq"),

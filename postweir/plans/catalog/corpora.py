@@ -37,7 +37,7 @@ def bio_corpus_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
-    docs = A.table(spark, sf, "documents")
+    docs = A.texts(spark, sf)
     return language.detect_lang(docs, language.train_profiles(docs), ["doc_id"])
 
 

@@ -137,7 +137,7 @@ def sharded_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from postweir.functions.text import normalize_text
 
     path = scratch_path(spark, "shards")
-    docs = A.table(spark, sf, "documents").select("doc_id", normalize_text(F.col("text")).alias("bio"))
+    docs = A.texts(spark, sf).select("doc_id", normalize_text(F.col("text")).alias("bio"))
     shards.write_sharded(docs, path, "bio", max_rows=200)
     rows = shards.read_shards(spark, path).select(F.lit("parquet").alias("side"), F.md5("bio").alias("digest"))
     return rows.unionByName(spark.read.text(f"{path}/txt").select(F.lit("txt").alias("side"), F.md5("value").alias("digest")))

@@ -61,7 +61,7 @@ def sql_preprocess(c: str) -> str:
 # what the documents lack: tags, handles, links and addresses, different for each document
 def _suffixed(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("doc_id").cast("string")
-    docs = A.table(spark, sf, "documents")
+    docs = A.texts(spark, sf)
     return docs.select("doc_id", F.concat(
         "text", F.lit(" #tag"), d, F.lit("#more#x see https://ex.org/p?q="), d, F.lit(" or www.site"), d,
         F.lit(".org, by @name"), d, F.lit(" (@bob) @@twice @ spaced # tag a.b-c"), d, F.lit("@mail.ex-"), d, F.lit(".com!"),
@@ -76,8 +76,8 @@ _SUFFIXED = (
 
 
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = A.table(spark, sf, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("k"), F.col("text").alias("t"))
-    pages = A.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
+    docs = A.texts(spark, sf).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("k"), F.col("text").alias("t"))
+    pages = A.texts(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
     return docs.unionByName(pages).select("kind", "k", X.normalize_text(F.col("t")).alias("normalized"))
 
 
@@ -86,7 +86,7 @@ def token_count(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_keywords(spark: SparkSession, sf: str) -> DataFrame:
-    docs = A.table(spark, sf, "documents")
+    docs = A.texts(spark, sf)
     return docs.select(
         "doc_id",
         F.array_join(X.match_keywords(F.col("text"), _KEYWORDS), ",").alias("matched"),
@@ -96,7 +96,7 @@ def match_keywords(spark: SparkSession, sf: str) -> DataFrame:
 
 def de_emojize(spark: SparkSession, sf: str) -> DataFrame:
     """Emoji spans around the text of every second source; texts with bare '<' or '&' stay out of the markup."""
-    docs = A.table(spark, sf, "documents").withColumn("safe", F.translate("text", "<>&", "()+"))
+    docs = A.texts(spark, sf).withColumn("safe", F.translate("text", "<>&", "()+"))
     span = F.lit('<span class="emoji" data-emoji-bytes="[240, 159, 152, 128]">x</span>')
     marked = F.when(F.col("lang") == "en", F.concat(span, "safe", F.lit(" <b>bold</b> "), span)).otherwise(F.col("text"))
     return docs.select("doc_id", X.de_emojize(marked).alias("clean"))
@@ -108,7 +108,7 @@ def separate_hashtags(spark: SparkSession, sf: str) -> DataFrame:
 
 def mask_urls(spark: SparkSession, sf: str) -> DataFrame:
     rows = _suffixed(spark, sf).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("k"), "t")
-    pages = A.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
+    pages = A.texts(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
     return rows.unionByName(pages).select("kind", "k", X.mask_urls(F.col("t")).alias("masked"))
 
 
@@ -118,7 +118,7 @@ def mask_users(spark: SparkSession, sf: str) -> DataFrame:
 
 def mask_email(spark: SparkSession, sf: str) -> DataFrame:
     docs = _suffixed(spark, sf).select(F.lit("doc").alias("kind"), F.col("doc_id").alias("k"), "t")
-    pages = A.table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
+    pages = A.texts(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("k"), F.col("html").alias("t"))
     return docs.unionByName(pages).select("kind", "k", X.mask_email(F.col("t")).alias("masked"))
 
 

@@ -97,3 +97,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """
     small = df.limit(max_rows + 1).count() <= max_rows
     return (F.broadcast(df) if small else df), small
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread a scan over the cores if it has fewer partitions than there are cores.
+
+    For work that costs much CPU per row. An input of many files is left as it is, so nothing is
+    shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
