@@ -83,7 +83,7 @@ def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = Fals
     """
     text = F.lower(c) if case_insensitive else c
     if not keywords:
-        return F.when(c.isNotNull(), F.array().cast("array<int>"))
+        return F.array().cast("array<int>")
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k.lower()).alias("k")) for i, k in enumerate(keywords)])
     return F.transform(F.filter(table, lambda e: F.contains(text, e["k"])), lambda e: e["i"])
 

@@ -4,24 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.session import session_conf
+from postweir.session import scratch_path, session_conf
 
 
-def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str = "hour") -> int:
+def interval_columns(by: str = "hour") -> dict[str, Column]:
+    """Partition columns of the interval a post belongs to."""
+    day = {"dt": F.date_format("created_at", "yyyy-MM-dd")}
+    return {**day, "hour": F.hour("created_at")} if by == "hour" else day
+
+
+def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str = "hour", dynamic: bool = False) -> int:
     """Write one folder per interval of `created_at`, rows sorted in each file; returns the row count.
 
     REBALANCE brings an interval together where it is small and splits it where it is not, so
     an hour that holds a third of all posts becomes several files. The count is observed in
-    the same pass.
+    the same pass. With `dynamic`, only folders that receive rows are replaced.
     """
     seen = Observation("written")
-    parts = {"dt": F.date_format("created_at", "yyyy-MM-dd")}
-    if by == "hour":
-        parts["hour"] = F.hour("created_at")
+    parts = interval_columns(by)
     placed = posts.withColumns(parts)
     ordered = (
         placed.observe(seen, F.count(F.lit(1)).alias("rows"))
@@ -30,17 +35,35 @@ def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str =
     )
     # few rows in many hours: opening files is the work, so small partitions stay apart
     with session_conf(posts.sparkSession, spark__sql__adaptive__coalescePartitions__minPartitionSize="16k"):
-        ordered.write.mode(mode).partitionBy(*parts).parquet(path)
+        ordered.write.mode(mode).option("partitionOverwriteMode", "dynamic" if dynamic else "static").partitionBy(*parts).parquet(path)
     return seen.get["rows"]
 
 
+def merge_posts(posts: DataFrame, path: str, by: str = "hour") -> int:
+    """Add posts to a written table: a stored post of the same id is replaced, the others of its interval stay.
+
+    Only touched folders are read and replaced; the merged rows are staged first because the
+    table cannot be read and replaced at once.
+    """
+    spark = posts.sparkSession
+    staged, merged = scratch_path(spark, "new-posts"), scratch_path(spark, "merged-posts")
+    posts.withColumns(interval_columns(by)).write.parquet(staged)
+    new = spark.read.parquet(staged)
+    parts = list(interval_columns(by))
+    stored = spark.read.parquet(path).withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
+    kept = stored.join(new.select(*parts).distinct(), parts, "left_semi").join(new.select("id"), "id", "left_anti")
+    new.unionByName(kept.select(new.columns)).write.parquet(merged)
+    return write_posts(spark.read.parquet(merged).drop(*parts), path, by=by, dynamic=True)
+
+
 def _bound(value: str | datetime) -> datetime:
     return value if isinstance(value, datetime) else datetime.strptime(value, "%Y-%m-%d")
 
 
 def first_files(df: DataFrame, n: int) -> list[str]:
-    """The first n input files by name."""
-    return sorted(df.inputFiles())[:n]
+    """The first n files by name among those the filters of `df` leave; no column is read for it."""
+    paths = df.select(F.col("_metadata.file_path").alias("path")).distinct().orderBy("path").limit(n)
+    return [unquote(row["path"]) for row in paths.collect()]
 
 
 def read_posts(spark: SparkSession, path: str, cols: list[str] | None = None, start: str | datetime | None = None,

@@ -10,7 +10,7 @@ from postweir.schema import BOT_SCORES, LABELLED_TEXT, PREDICTION
 
 def read_keywords(spark: SparkSession, path: str) -> list[str]:
     """Keyword list, one per line in the order that gives each its number. Meant for hundreds of entries."""
-    row = spark.read.option("wholetext", "true").text(path).first()
+    row = spark.read.text(path, wholetext=True).first()
     return [line for line in row["value"].split("\n") if line] if row else []
 
 
