@@ -14,24 +14,26 @@ def ring_edges(ring: Column) -> Column:
     ))
 
 
-def centroid(ring: Column) -> Column:
-    """Struct (x, y): centre of area; of a ring without area the centre of its line, of a point the point."""
-    ring = F.transform(ring, lambda p: F.transform(p, lambda v: v.cast("double")))
-    x0, y0 = F.get(F.get(ring, F.lit(0)), F.lit(0)), F.get(F.get(ring, F.lit(0)), F.lit(1))
-    zero = F.lit(0.0)
-    start = F.struct(*[zero.alias(n) for n in ("a", "ax", "ay", "l", "lx", "ly")])
+def _centroid_of(ring: Column) -> Column:
+    x0, y0 = ring[0][0], ring[0][1]
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+
+    # relative to the first vertex, which keeps small rings far from the origin exact
+    def edge(a: Column, b: Column) -> Column:
+        x1, y1, x2, y2 = a[0] - x0, a[1] - y0, b[0] - x0, b[1] - y0
+        return F.struct(
+            (x1 + x2).alias("sx"), (y1 + y2).alias("sy"), (x1 * y2 - x2 * y1).alias("cross"),
+            F.hypot(x2 - x1, y2 - y1).alias("length"),
+        )
 
     def add(acc: Column, e: Column) -> Column:
-        # relative to the first vertex, which keeps small rings far from the origin exact
-        x1, y1, x2, y2 = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
-        cross, length = x1 * y2 - x2 * y1, F.sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))
         return F.struct(
-            (acc["a"] + cross).alias("a"),
-            (acc["ax"] + (x1 + x2) * cross).alias("ax"),
-            (acc["ay"] + (y1 + y2) * cross).alias("ay"),
-            (acc["l"] + length).alias("l"),
-            (acc["lx"] + (x1 + x2) * length).alias("lx"),
-            (acc["ly"] + (y1 + y2) * length).alias("ly"),
+            (acc["a"] + e["cross"]).alias("a"),
+            (acc["ax"] + e["sx"] * e["cross"]).alias("ax"),
+            (acc["ay"] + e["sy"] * e["cross"]).alias("ay"),
+            (acc["l"] + e["length"]).alias("l"),
+            (acc["lx"] + e["sx"] * e["length"]).alias("lx"),
+            (acc["ly"] + e["sy"] * e["length"]).alias("ly"),
         )
 
     def centre(acc: Column) -> Column:
@@ -43,7 +45,15 @@ def centroid(ring: Column) -> Column:
 
         return F.struct(along(acc["ax"], acc["lx"], x0).alias("x"), along(acc["ay"], acc["ly"], y0).alias("y"))
 
-    return F.when(F.size(ring) > 0, F.aggregate(ring_edges(ring), start, add, centre))
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("a", "ax", "ay", "l", "lx", "ly")])
+    return F.aggregate(F.zip_with(ring, following, edge), start, add, centre)
+
+
+def centroid(ring: Column) -> Column:
+    """Struct (x, y): centre of area; of a ring without area the centre of its line, of a point the point."""
+    rings = F.filter(F.array(ring.cast("array<array<double>>")), lambda r: F.size(r) > 0)
+    # inside transform the ring has a name and is computed once
+    return F.get(F.transform(rings, _centroid_of), F.lit(0))
 
 
 def _turn(px: Column, py: Column, e: dict[str, Column]) -> Column:

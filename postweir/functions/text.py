@@ -75,17 +75,25 @@ def token_count(c: Column, stop_words: list[str]) -> Column:
     return F.size(kept).cast("bigint")
 
 
-def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = False) -> Column:
+def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = False, gate: int = 3) -> Column:
     """Positions (ascending) of the keywords that occur in the text as substrings.
 
     Keywords are lower-cased, the text is not, unless `case_insensitive`. A keyword that is
-    listed twice is reported twice.
+    listed twice is reported twice. Keywords are grouped by their first `gate` characters; a group whose
+    beginning is nowhere in the text is passed over.
     """
     text = F.lower(c) if case_insensitive else c
-    if not keywords:
+    groups: dict[str, list[tuple[int, str]]] = {}
+    for i, word in enumerate(k.lower() for k in keywords):
+        groups.setdefault(word[:gate], []).append((i, word))
+    if not groups:
         return F.array().cast("array<int>")
-    table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k.lower()).alias("k")) for i, k in enumerate(keywords)])
-    return F.transform(F.filter(table, lambda e: F.contains(text, e["k"])), lambda e: e["i"])
+    table = F.array(*[
+        F.struct(F.lit(start).alias("start"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in members]).alias("members"))
+        for start, members in groups.items()
+    ])
+    near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(text, g["start"])), lambda g: g["members"]))
+    return F.array_sort(F.transform(F.filter(near, lambda m: F.contains(text, m["k"])), lambda m: m["i"]))
 
 
 class _EmojiText(HTMLParser):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postweir.functions.once import once
 from postweir.functions.text import longer_than, normalize_text
 from postweir.operators.keyed import first_per_key, spread_join
 
@@ -19,7 +20,7 @@ def union_sources(sources: list[DataFrame]) -> DataFrame:
 
 
 def _normalized(df: DataFrame, text_col: str, more_than: int) -> DataFrame:
-    clean = df.filter(F.col(text_col).isNotNull()).withColumn(text_col, normalize_text(F.col(text_col)))
+    clean = df.filter(F.col(text_col).isNotNull()).withColumn(text_col, once(normalize_text(F.col(text_col))))
     return clean.filter(longer_than(F.col(text_col), more_than))
 
 

@@ -71,7 +71,8 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_with_nested(spark: SparkSession, sf: str) -> DataFrame:
-    posts = extraction.extract_posts(_parsed(spark, sf), _KEYWORDS, _STOP)
+    # parsed once: both branches read the staged copies
+    posts = extraction.extract_posts(_parsed(spark, sf), _KEYWORDS, _STOP, stage=scratch_path(spark, "copies"))
     return posts.select(
         "id", "text", "user_id", "user_description", "user_is_verified", "is_retweet", "has_quote", "is_reply",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postweir.functions.once import once
 from postweir.schema import CORRUPT, RAW_POST_WITH_CORRUPT
 
 # folders are plain (2020/05/07/10) or carry their partition name (y=2020/m=05/d=07/h=10)
@@ -80,12 +81,12 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     schema = RAW_POST_WITH_CORRUPT
     parsed = lines.filter(F.length("value") > 1).withColumn(
-        "_json", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        "_json", once(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
     )
     broken = F.col("_json.id").isNull() & (F.col("_json").isNull() | F.col(f"_json.{CORRUPT}").isNotNull())
     parsed = parsed.withColumn("_fixed", _literal_to_json(F.when(broken, F.col("value"))))
     parsed = parsed.withColumn(
-        "post", F.when(F.col("_fixed").isNotNull(), F.from_json("_fixed", schema)).otherwise(F.col("_json"))
+        "post", once(F.when(F.col("_fixed").isNotNull(), F.from_json("_fixed", schema)).otherwise(F.col("_json")))
     )
     place = ["file_path", "block_start", "line_no"]
     good = parsed.filter(F.col("post.id").isNotNull()).select("post", *place)
