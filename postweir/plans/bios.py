@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from postweir.operators import corpus, language
 from postweir.operators.keyed import positional_split, sample_n
 from postweir.operators.predictions import merge_predictions
+from postweir.operators.totals import RowTotals
 from postweir.session import ship_package
 from postweir.sources.shards import MAX_ROWS, read_shards, write_sharded
 
 
-def write_prediction_corpus(sources: list[DataFrame], out: str, order: list[str], max_rows: int = MAX_ROWS) -> None:
+def write_prediction_corpus(sources: list[DataFrame], out: str, order: list[str], max_rows: int = MAX_ROWS) -> dict[str, int]:
+    """Write the shards; returns the row totals after each step."""
     ship_package(sources[0].sparkSession)
-    bios = corpus.prediction_corpus(sources, order)
+    totals = RowTotals()
+    bios = corpus.prediction_corpus(sources, order, watch=totals)
     write_sharded(bios.select("user_id", "user_description", "lang"), out, "user_description", max_rows)
+    return totals.rows()
 
 
 def write_pretrain_corpus(sources: list[DataFrame], annotated: DataFrame, out: str, order: list[str],

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.operators import corpus, language
+from postweir.operators import corpus, language, predictions
 from postweir.operators.keyed import positional_split
+from postweir.operators.totals import RowTotals
 from postweir.plans import adapters as A
 from postweir.plans.catalog.text import sql_normalize
+from postweir.session import scratch_path
 
 
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +43,25 @@ def lang_detect(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect_lang(docs, language.train_profiles(docs), ["doc_id"])
 
 
+def merge_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = A.table(spark, sf, "documents"), A.table(spark, sf, "labels")
+    types = labels.select("doc_id", F.col("quality").alias("type_label"))
+    categories = labels.filter("toxic = 0").select("doc_id", F.col("toxic").alias("category_label"))
+    languages = docs.filter("lang <> 'fr'").select("doc_id", F.col("lang").alias("userbio_lang"))
+    return predictions.merge_predictions(docs, [types, categories, languages], "doc_id")
+
+
+def row_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows left after each step of the prediction corpus, observed while it is written."""
+    totals = RowTotals()
+    rows = corpus.prediction_corpus(A.bios(spark, sf), ["seq"], watch=totals)
+    rows.select("user_id").write.parquet(scratch_path(spark, "corpus"))
+    return spark.createDataFrame(list(totals.rows().items()), "step string, n bigint")
+
+
 QUERIES = {
+    "merge_predictions": merge_by_key,
+    "row_totals": row_totals,
     "bio_corpus_pretrain": bio_corpus_pretrain,
     "bio_corpus_english": bio_corpus_english,
     "bio_corpus_predict": bio_corpus_predict,
@@ -68,6 +88,17 @@ corpus AS (SELECT * FROM kept WHERE length(bio) > 3)"""
 
 
 ORACLES = {
+    "merge_predictions": """
+SELECT d.doc_id, quality AS type_label, CASE WHEN toxic = 0 THEN toxic END AS category_label,
+       CASE WHEN lang <> 'fr' THEN lang END AS userbio_lang
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "row_totals": f"""
+WITH {_BIOS},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY source, seq) AS r FROM bios)
+SELECT 'read' AS step, count(*) AS n FROM firsts
+UNION ALL SELECT 'distinct', count(*) FROM firsts WHERE r = 1
+UNION ALL SELECT 'with bio', count(*) FROM firsts WHERE r = 1 AND bio IS NOT NULL
+UNION ALL SELECT 'long enough', count(*) FROM firsts WHERE r = 1 AND length({sql_normalize('bio')}) >= 3 AND bio IS NOT NULL""",
     "bio_corpus_pretrain": f"""{_pretrain_sql('true')},
 numbered AS (
   SELECT *, row_number() OVER (ORDER BY source, user_id, seq) - 1 AS row_index, count(*) OVER () AS n FROM corpus)

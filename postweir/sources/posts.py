@@ -92,3 +92,8 @@ def read_posts(spark: SparkSession, path: str, cols: list[str] | None = None, st
     if cols is not None:
         df = df.select(*cols)
     return transform(df) if transform else df
+
+
+def register_posts(spark: SparkSession, path: str, name: str = "posts") -> None:
+    """Make a written table available to `spark.sql`."""
+    read_posts(spark, path).createOrReplaceTempView(name)

@@ -82,6 +82,12 @@ def test_merge_keeps_the_other_posts_of_an_hour(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in post_files.read_posts(spark, path).collect()} == {("a", 1), ("b", 20), ("c", 3), ("d", 4)}
 
 
+def test_posts_as_sql_view(spark, tmp_path):
+    stored(spark, str(tmp_path / "p"), [("a", "2020-05-07 00:00:00", 1)])
+    post_files.register_posts(spark, str(tmp_path / "p"), "stored_posts")
+    assert spark.sql("SELECT id, hour FROM stored_posts").first().asDict() == {"id": "a", "hour": 0}
+
+
 def test_shards(spark, tmp_path):
     df = spark.range(95).select("id", F.concat(F.lit("t"), F.col("id")).alias("bio")).coalesce(1)
     shards.write_sharded(df, str(tmp_path), "bio", max_rows=10)
@@ -145,7 +151,8 @@ def test_language_paths_agree(spark):
 
 def test_bio_corpora(spark, tmp_path):
     sources = [docs(spark), docs(spark, 10).withColumn("user_description", F.lit("abc"))]
-    bios.write_prediction_corpus(sources, str(tmp_path / "p"), ["user_id"])
+    totals = bios.write_prediction_corpus(sources, str(tmp_path / "p"), ["user_id"])
+    assert totals == {"read": 70, "distinct": 60, "with bio": 60, "long enough": 60}
     assert shards.read_shards(spark, str(tmp_path / "p")).count() == 60
     profiles = language.train_profiles(docs(spark), "user_description")
     bios.write_languages(spark, str(tmp_path / "p"), profiles, str(tmp_path / "l"))
