@@ -152,7 +152,10 @@ _BREAKS = re.compile(r"[\r\n\t]+")
 
 def _standardize_one(text: str) -> str:
     text = _BREAKS.sub(" ", html.unescape(text))
-    return unicodedata.normalize("NFKC", "".join(ch for ch in text if unicodedata.category(ch)[0] != "C"))
+    # printable text holds no control characters
+    if not text.isprintable():
+        text = "".join(ch for ch in text if unicodedata.category(ch)[0] != "C")
+    return unicodedata.normalize("NFKC", text)
 
 
 @F.pandas_udf(T.StringType())
