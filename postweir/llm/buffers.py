@@ -47,9 +47,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of `[^\\x20\\x09-\\x0D]` in each text, and the n + 1 bounds of each text's words."""
-    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def words(data: np.ndarray, bounds: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of `solid` bytes, else of `[^\\x20\\x09-\\x0D]`, in each text, and the n + 1 bounds of each text's runs."""
+    if solid is None:
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
     before = np.empty(len(data), bool)

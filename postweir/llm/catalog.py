@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.llm import packing, records
+from postweir.llm import chat, packing, quality, records
 from postweir.llm.tokens import tokenizer_path
 from postweir.session import scratch_path
 
@@ -14,11 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.chat_digests(chat.format_chats(rows.unionByName(both)))
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_path(), end=2)
     index = records.read_index(spark, path).select("file", "offset", "start", "n_tokens")
-    read = records.read_records(spark, path).select("file", "offset", "doc_id", "ids_crc32")
+    read = records.read_records(spark, path, with_ids=False)
     return read.join(index, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -26,5 +35,15 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_records, op9_pattern_packing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "measured")
+    quality.measure(table(spark, sf_dir, "documents"), "lang").write.parquet(path)
+    measured = spark.read.parquet(path)
+    cutoffs = quality.fit_cutoffs(measured, table(spark, sf_dir, "labels"))
+    return quality.judge(measured, cutoffs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_token_records, op9_pattern_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

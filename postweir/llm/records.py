@@ -125,10 +125,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return index.join(totals, "file").withColumn("start", F.col("_first") + F.col("tokens_before")).drop("_first")
 
 
-def read_records(spark: SparkSession, path: str, picked: DataFrame | None = None) -> DataFrame:
-    """(file, offset, doc_id, ids, ids_crc32) of all records, or of the index rows in `picked`, such as the next share of a
-    shuffled order. `ids_crc32` is of the ids as little-endian unsigned 32-bit integers."""
-    schema = "file int, offset long, doc_id long, ids array<int>, ids_crc32 long"
+def read_records(spark: SparkSession, path: str, picked: DataFrame | None = None, with_ids: bool = True) -> DataFrame:
+    """(file, offset, doc_id, ids_crc32, ids) of all records, or of the index rows in `picked`, such as the next share of a
+    shuffled order. `ids_crc32` is of the ids as little-endian unsigned 32-bit integers; without `with_ids` the ids themselves are left out."""
+    schema = "file int, offset long, doc_id long, ids_crc32 long" + ", ids array<int>" * with_ids
     content = files(spark, path).withColumn("offsets", F.lit(None).cast("array<bigint>"))
     if picked is not None:
         content = content.drop("offsets").join(picked.groupBy("file").agg(F.collect_list("offset").alias("offsets")), "file")
@@ -141,13 +141,14 @@ def read_records(spark: SparkSession, path: str, picked: DataFrame | None = None
                 for part in (at[i : i + 512] for i in range(0, len(at), 512)):
                     doc_ids = [struct.unpack_from(_BODY, view, x + 12) for x in part]
                     ids = [payload_ids(view, x) for x in part]
-                    bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    flat = np.concatenate(ids).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([number.as_py()] * len(part), pa.int32()), pa.array(part, pa.int64()),
-                        pa.array([d if has else None for has, d, _ in doc_ids], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                    ], ["file", "offset", "doc_id", "ids", "ids_crc32"])
+                    columns = {
+                        "file": pa.array([number.as_py()] * len(part), pa.int32()), "offset": pa.array(part, pa.int64()),
+                        "doc_id": pa.array([d if has else None for has, d, _ in doc_ids], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                    }
+                    if with_ids:
+                        bounds = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+                        columns["ids"] = pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(ids).astype(np.int32)))
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return content.select("file", "content", "offsets").mapInArrow(decode, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -57,13 +58,14 @@ class _WordIds(dict):
         self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if not self.plain or not _PLAIN.fullmatch(word) or "<|" in word:
-            ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = self.plain and (word.isprintable() if word.isascii() else _PLAIN.fullmatch(word)) and "<|" not in word
+        if not plain:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = pack(f"<{len(ids)}I", *ids)
         elif word.isalpha():
             ids = self._piece(word.lower())
         else:
-            pieces = self.pieces
-            ids = b"".join([pieces.get(p) or self._piece(p) for p in _PIECES.findall(word.lower())])
+            ids = b"".join(map(self._piece, _PIECES.findall(word.lower())))
         self[word] = ids
         return ids
 
@@ -71,7 +73,7 @@ class _WordIds(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             tokens = self.tokenizer.model.tokenize(piece if piece.isascii() else piece.translate(_BYTE_LETTERS))
-            ids = self.pieces[piece] = np.fromiter([t.id for t in tokens], "<u4").tobytes()
+            ids = self.pieces[piece] = pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         return ids
 
 
@@ -94,7 +96,7 @@ class WordEncoder:
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
             self.words.pieces.clear()
-        return np.frombuffer(b"".join([*map(self.words.__getitem__, words), int(end).to_bytes(4, "little")]), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)) + end.to_bytes(4, "little"), "<u4")
 
 
 @lru_cache(maxsize=2)
