@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.llm import chat, packing, quality, records
+from postweir.llm import chat, leaks, packing, pages, pii, quality, records, toxicity
 from postweir.llm.tokens import tokenizer_path
 from postweir.session import scratch_path
 
@@ -31,6 +31,35 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(index, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it."""
+    found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
+
+
+#: The chain: low or high quality first, then toxic or not.
+CATEGORIES = ["quality", "toxic"]
+
+
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document with its probabilities and the verdict."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
+    return toxicity.score(docs, model, CATEGORIES, keep=["doc_id"]).withColumn("toxic", F.col("p_toxic") > toxicity.THRESHOLD)
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    numbers = [F.size(F.array_remove("base.kind", k)).alias(f"n_{k}") for k in pii.KINDS]
+    numbers = [(F.size("base") - n).cast("bigint").alias(f"n_{k}") for k, n in zip(pii.KINDS, numbers, strict=True)]
+    digest = F.sha2(pii.span_list(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *numbers, digest.alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end=1)
 
@@ -45,5 +74,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op3_token_records, op9_pattern_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_formatting, op3_token_records, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
+    op9_pattern_packing, op10_quality_rules,
+)}
 ORACLES: dict[str, str] = {}

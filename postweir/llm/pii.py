@@ -44,7 +44,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return value.rlike(r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$") | value.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$")
+        return value.rlike(r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.|$)){4}$")
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(False)
@@ -69,14 +69,17 @@ def _placed(text: Column, pattern: str) -> Column:
     return F.zip_with(pieces, ends, lambda p, s: F.struct(p["before"].alias("before"), p["value"].alias("value"), s.alias("start")))
 
 
+def _spans_of(placed: Column, kind: str, rank: int) -> Column:
+    return F.transform(F.filter(placed, lambda m: _valid(kind, m["value"])), lambda m: F.struct(
+        m["start"].alias("start"), F.lit(rank).alias("rank"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(kind).alias("kind"),
+    ))
+
+
 def base_spans(text: Column) -> Column:
     """Spans of the fixed formats by start, then in the order of KINDS; matches that fail their test are dropped."""
     found = []
     for rank, kind in enumerate(KINDS):
-        good = F.filter(_placed(text, PATTERNS[kind]), lambda m, k=kind: _valid(k, m["value"]))
-        spans = F.transform(good, lambda m, r=rank, k=kind: F.struct(
-            m["start"].alias("start"), F.lit(r).alias("rank"), (m["start"] + F.length(m["value"])).alias("end"), F.lit(k).alias("kind"),
-        ))
+        spans = _spans_of(_placed(text, PATTERNS[kind]), kind, rank)
         found.append(F.when(text.rlike(HINTS[kind]), spans).otherwise(F.array().cast(SPANS)))
     return F.array_sort(F.concat(*found))
 
@@ -98,7 +101,7 @@ def learn_patterns(found: DataFrame) -> DataFrame:
     """(left, kind, rank, score) of the patterns with enough confidence, from rows with `base` and `cands`."""
     ensure_checkpoint_dir(found.sparkSession)
     each = found.select("base", F.explode("cands").alias("c"))
-    over = F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))[0]
+    over = F.get(F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))), F.lit(0))
     edges = each.select(F.col("c.left").alias("left"), F.col("c.token").alias("token"), over["kind"].alias("kind"), over["rank"].alias("rank"))
     edges = edges.groupBy("left", "token").agg(F.min(F.struct("rank", "kind")).alias("seed"))
     edges = edges.withColumn("kind", F.col("seed.kind")).withColumn("rank", F.col("seed.rank")).drop("seed")
