@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.llm import chat, leaks, packing, pages, pii, quality, records, toxicity
+from postweir.llm import chat, leaks, packing, pages, partenum, pii, quality, records, repeats, toxicity
 from postweir.llm.tokens import tokenizer_path
 from postweir.session import scratch_path
 
@@ -23,6 +23,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(both)))
 
 
+def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "records")
     records.write_records(table(spark, sf_dir, "documents"), path, tokenizer_path(), end=2)
@@ -31,6 +36,10 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(index, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_partition_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_text(table(spark, sf_dir, "pages"))
 
@@ -75,7 +84,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_formatting, op3_token_records, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
+    op1_chat_formatting, op2_suffix_repeats, op3_token_records, op4_partition_signatures, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
     op9_pattern_packing, op10_quality_rules,
 )}
 ORACLES: dict[str, str] = {}
