@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweir.llm.buffers import gram_hashes, lower_ascii, mix, slices, text_bytes, word_hashes, words
-from postweir.session import scratch_path
+from postweir.session import remove_path, scratch_path
 
 SHINGLE = 5
 #: Similarity as a percentage, so that all bounds are whole numbers.
@@ -164,15 +164,21 @@ class _Member:
 
 
 def _forest(members: list[_Member]) -> list[tuple[int, int]]:
-    """Each set with the first one it may match, and which no earlier one may match."""
-    found = []
-    while len(members) > 1:
+    """Each set with the first one it may match and that no earlier one may match; so every set that may match any is in a pair."""
+    found, taken = [], []
+    while members:
         one, rest, members = members[0], members[1:], []
+        here = len(found)
         for x in rest:
             if one.may_match(x):
                 found.append((one.code, x.code))
+                taken.append(x)
             else:
                 members.append(x)
+        if len(found) == here:
+            other = next((x for x in taken if x.may_match(one)), None)
+            if other:
+                found.append((min(one.code, other.code), max(one.code, other.code)))
     return found
 
 
@@ -185,8 +191,8 @@ def _unlike(members: list[_Member]) -> list[tuple[int, int]]:
     ]
 
 
-def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b) with a < b: candidate pairs of sets that share a signature, where bitmaps allow it.
+def _candidates(members: DataFrame, maps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b) with a < b: candidate pairs of sets that share a signature, where the bitmaps in `maps` (code, n, bitmap) allow it.
 
     Without labels, only a forest in each signature: each set is paired with the first one it may be similar to. With labels, all possible pairs of
     differently labelled sets. A signature of many sets is dealt into blocks, and its pairs of blocks over tasks.
@@ -219,7 +225,7 @@ def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
         yield _pairs(pairs_of(members))
 
     keys = ["signature", "i", "j"]
-    dealt = rows.select(*keys, "code", "n", "label", "block", "bitmap").repartition(*keys).sortWithinPartitions(*keys, "code")
+    dealt = rows.join(maps, "code").select(*keys, "code", "n", "label", "block", "bitmap").repartition(*keys).sortWithinPartitions(*keys, "code")
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
@@ -310,26 +316,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         raise RuntimeError("some set had too few tokens with every hash")
 
     _members(signed).write.parquet(f"{root}/members")
+    signed.drop("signatures", "short").write.parquet(f"{root}/sets")  # without the signatures, which take most of the room
+    remove_path(spark, path)
     release(spark)
+    signed = spark.read.parquet(f"{root}/sets")
     found = spark.read.parquet(f"{root}/members")
     one = found.groupBy("signature").agg(F.sum(F.xxhash64("code").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
     one = one.groupBy("sum", "n").agg(F.min("signature").alias("signature")).select("signature")
-    maps = signed.where(F.length("bitmap") > 0).groupBy("code").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
-    found.join(one, "signature", "left_semi").join(maps, "code").write.parquet(f"{root}/groups")
+    found.join(one, "signature", "left_semi").write.parquet(f"{root}/groups")
+    release(spark)
     groups = spark.read.parquet(f"{root}/groups")
+    maps = signed.where(F.length("bitmap") > 0).groupBy("code").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
 
-    _candidates(groups, None).write.parquet(f"{root}/forest")
+    _candidates(groups, maps, None).write.parquet(f"{root}/forest")
     release(spark)
+    forest = spark.read.parquet(f"{root}/forest")
     least = signed.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("doc_id"))
-    wanted = least.join(groups.select("code").distinct(), "code", "left_semi")
-    wanted.write.parquet(f"{root}/wanted")
+    paired = forest.select(F.col("a").alias("code")).unionByName(forest.select(F.col("b").alias("code"))).distinct()
+    least.join(paired, "code", "left_semi").write.parquet(f"{root}/wanted")
     _elements(docs, spark.read.parquet(f"{root}/wanted")).write.parquet(f"{root}/elements")
     release(spark)
     sets = spark.read.parquet(f"{root}/elements")
-    forest = spark.read.parquet(f"{root}/forest")
     _similar(forest, sets).write.parquet(f"{root}/links0")
+    release(spark)
     labels = connect(spark.read.parquet(f"{root}/links0"), f"{root}/connect0")
-    _candidates(groups, labels).join(forest, ["a", "b"], "left_anti").write.parquet(f"{root}/rest")
+    _candidates(groups, maps, labels).join(forest, ["a", "b"], "left_anti").write.parquet(f"{root}/rest")
     release(spark)
     _similar(spark.read.parquet(f"{root}/rest"), sets).write.parquet(f"{root}/links1")
     release(spark)
