@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from postweir.llm.buffers import BASE, BYTE_CODES, mix, text_bytes
 from postweir.llm.partenum import release
-from postweir.session import scratch_path
+from postweir.session import remove_path, scratch_path
 
 LENGTH, SEED = 200, 32
 #: Bytes before an anchor that a string with this anchor may have.
 BEFORE = LENGTH - SEED
 #: Classes of one seed that are sorted in one task. Those of more common seeds compare all their strings about the anchor by hash instead, over all tasks.
-LARGEST = 400
+LARGEST = 20_000
 #: Bytes handled at once; longer texts are handled in pieces that overlap by LENGTH - 1.
 PIECE = 1 << 21
 
@@ -114,8 +114,11 @@ def _with_text(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(seed, context, size, left, right) of classes, from the text of one member each; `left` is reversed."""
-    by_text = wanted.groupBy("doc_id", "code").agg(F.collect_list(F.struct("place", "seed", "context", "size")).alias("at"))
+    """(seed, context, classes, left, right) of the anchors in `wanted`, one of each class; `left` is reversed.
+
+    Rows that repeat a text give a class twice. Such a class has two members and is a repeat in any case.
+    """
+    by_text = wanted.groupBy("doc_id", "code").agg(F.collect_list(F.struct("place", "seed", "context", "classes")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,13 +128,12 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     raw = text.as_py().encode()
                     for x in at:
                         p = x["place"]
-                        rows.append((x["seed"], x["context"], x["size"], raw[max(p - BEFORE, 0) : p][::-1], raw[p : p + LENGTH]))
+                        rows.append((x["seed"], x["context"], x["classes"], raw[max(p - BEFORE, 0) : p][::-1], raw[p : p + LENGTH]))
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seed", "context", "size", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seed", "context", "classes", "left", "right"])
 
-    found = _with_text(docs, by_text, "inner").select("text", "at").mapInArrow(cut, "seed long, context long, size long, left binary, right binary")
-    return found.dropDuplicates(["seed", "context"])
+    return _with_text(docs, by_text, "inner").select("text", "at").mapInArrow(cut, "seed long, context long, classes long, left binary, right binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -234,26 +236,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     root = scratch_path(spark, "repeats")
     _anchored(docs).write.parquet(f"{root}/anchors")
-    all_anchors = spark.read.parquet(f"{root}/anchors")
-    classes = all_anchors.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "code", "place")).alias("one"))
-    of_seed = Window.partitionBy("seed")
-    kept = classes.withColumn("classes", F.count(F.lit(1)).over(of_seed)).where("size > 1 OR classes > 1")
-    kept.select("seed", "context", "size", "classes", "one.*").write.parquet(f"{root}/classes")
+    found = spark.read.parquet(f"{root}/anchors")
+    classes = found.groupBy("seed", "context").agg(F.count(F.lit(1)).alias("size"))
+    classes = classes.withColumn("classes", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where("size > 1 OR classes > 1")
+    classes.write.parquet(f"{root}/classes")
+    release(spark)
+    found.join(spark.read.parquet(f"{root}/classes"), ["seed", "context"]).write.parquet(f"{root}/hits")
+    remove_path(spark, f"{root}/anchors")
     release(spark)
-    kept = spark.read.parquet(f"{root}/classes")
 
-    several = kept.where("classes > 1")
-    _contexts(docs, several).write.parquet(f"{root}/contexts")
+    hits = spark.read.parquet(f"{root}/hits")
+    one_each = hits.where("classes > 1").groupBy("seed", "context").agg(F.min(F.struct("doc_id", "code", "place")).alias("one"), F.first("classes").alias("classes"))
+    _contexts(docs, one_each.select("seed", "context", "classes", "one.*")).write.option("compression", "zstd").parquet(f"{root}/contexts")
     release(spark)
-    contexts = spark.read.parquet(f"{root}/contexts").join(several.select("seed", "context", "classes"), ["seed", "context"])
-    contexts.write.parquet(f"{root}/sides")
-    sides = spark.read.parquet(f"{root}/sides")
-    extents = _sorted_extents(sides.where(F.col("classes") <= LARGEST)).unionByName(_hashed_extents(sides.where(F.col("classes") > LARGEST)))
-    whole = kept.where("size > 1").select("seed", "context", F.lit(BEFORE).cast("bigint").alias("before"), F.lit(LENGTH).cast("bigint").alias("after"))
+    contexts = spark.read.parquet(f"{root}/contexts")
+    extents = _sorted_extents(contexts.where(F.col("classes") <= LARGEST)).unionByName(_hashed_extents(contexts.where(F.col("classes") > LARGEST)))
+    whole = spark.read.parquet(f"{root}/classes").where("size > 1")
+    whole = whole.select("seed", "context", F.lit(BEFORE).cast("bigint").alias("before"), F.lit(LENGTH).cast("bigint").alias("after"))
     extents = extents.unionByName(whole).groupBy("seed", "context").agg(F.collect_set(F.struct("before", "after")).alias("extents"))
     extents.write.parquet(f"{root}/extents")
+    remove_path(spark, f"{root}/contexts")
     release(spark)
-    spans = all_anchors.join(spark.read.parquet(f"{root}/extents"), ["seed", "context"]).groupBy("doc_id", "code").agg(
+    spans = hits.join(spark.read.parquet(f"{root}/extents"), ["seed", "context"]).groupBy("doc_id", "code").agg(
         F.collect_set(F.struct("place", "extents")).alias("at")
     )
     spans.write.parquet(f"{root}/spans")
