@@ -5,7 +5,8 @@ that begin at anchors need to be sorted. Anchors are grouped by their seed. Thos
 two or more, all strings about them repeat. Classes of a seed are put in the order of their suffixes; a scan with a stack over the common prefixes of
 neighbours gives the tree of prefix intervals. Within an interval the members are put in the order of what lies before them: where it differs, the
 interval's string can't be extended to the left for all of them, and neighbours in that order tell how far each member shares it with another one.
-Left and right extents that add up to LENGTH are repeats, with all their occurrences.
+Left and right extents that add up to LENGTH are repeats, with all their occurrences. As all of them hold the anchor, the bytes that the repeats
+about an anchor cover are one run, from the furthest left extent to the furthest right one.
 """
 
 from __future__ import annotations
@@ -157,11 +158,11 @@ def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((first, depth))
 
 
-def repeated_extents(lefts: list[bytes], rights: list[bytes]) -> list[set[tuple[int, int]]]:
-    """For each member (in the order of its right side) the extents (before, after its anchor) of strings of LENGTH bytes or more that it shares."""
+def repeated_extents(lefts: list[bytes], rights: list[bytes]) -> list[tuple[int, int] | None]:
+    """For each member (in the order of its right side) how far the strings of LENGTH bytes or more that it shares reach (before, after its anchor)."""
     n = len(rights)
     lcp = [0] + [common(rights[i - 1], rights[i]) for i in range(1, n)]
-    found: list[set[tuple[int, int]]] = [set() for _ in range(n)]
+    found: list[tuple[int, int] | None] = [None] * n
     for first, last, depth in prefix_intervals(lcp):
         if depth < SEED:
             continue
@@ -170,7 +171,8 @@ def repeated_extents(lefts: list[bytes], rights: list[bytes]) -> list[set[tuple[
         for k, member in enumerate(order):
             before = max(shared[k - 1] if k else 0, shared[k] if k < len(shared) else 0)
             if before + depth >= LENGTH:
-                found[member].add((before, depth))
+                known = found[member] or (0, 0)
+                found[member] = max(known[0], before), max(known[1], depth)
     return found
 
 
@@ -194,7 +196,7 @@ def _sorted_extents(classes: DataFrame) -> DataFrame:
 
 def _extents_of(seed: int | None, group: list[tuple]) -> list[tuple]:
     found = repeated_extents([g[1] for g in group], [g[2] for g in group])
-    return [(seed, g[0], before, after) for g, extents in zip(group, found, strict=True) for before, after in extents]
+    return [(seed, g[0], *extent) for g, extent in zip(group, found, strict=True) if extent]
 
 
 def _extent_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -253,12 +255,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     extents = _sorted_extents(contexts.where(F.col("classes") <= LARGEST)).unionByName(_hashed_extents(contexts.where(F.col("classes") > LARGEST)))
     whole = spark.read.parquet(f"{root}/classes").where("size > 1")
     whole = whole.select("seed", "context", F.lit(BEFORE).cast("bigint").alias("before"), F.lit(LENGTH).cast("bigint").alias("after"))
-    extents = extents.unionByName(whole).groupBy("seed", "context").agg(F.collect_set(F.struct("before", "after")).alias("extents"))
+    extents = extents.unionByName(whole).groupBy("seed", "context").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     extents.write.parquet(f"{root}/extents")
     remove_path(spark, f"{root}/contexts")
     release(spark)
     spans = hits.join(spark.read.parquet(f"{root}/extents"), ["seed", "context"]).groupBy("doc_id", "code").agg(
-        F.collect_set(F.struct("place", "extents")).alias("at")
+        F.collect_set(F.struct((F.col("place") - F.col("before")).alias("start"), (F.col("place") + F.col("after")).alias("end"))).alias("at")
     )
     spans.write.parquet(f"{root}/spans")
     release(spark)
@@ -268,9 +270,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
                 kept, runs = [], []
-                for text, at in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                sides = part.column(2).flatten()
+                starts, ends_of = sides.field(0).to_numpy(zero_copy_only=False), sides.field(1).to_numpy(zero_copy_only=False)
+                last = np.cumsum([n or 0 for n in part.column(2).value_lengths().to_pylist()]).tolist()
+                for text, a, b in zip(part.column(1), [0, *last], last, strict=False):
                     raw = text.as_py().encode()
-                    runs.append(covered(at or [], len(raw)))
+                    runs.append(covered(starts[a:b], ends_of[a:b], len(raw)))
                     ends = [0, *(e for _, e in runs[-1])]
                     kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(s for s, _ in runs[-1]), len(raw)], strict=True)))
                 sizes = [sum(e - s for s, e in r) for r in runs]
@@ -285,11 +290,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "at").mapInArrow(cut, schema)
 
 
-def covered(at: list[dict], size: int) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that extents about anchors cover, within the text."""
-    parts = sorted((max(x["place"] - e["before"], 0), min(x["place"] + e["after"], size)) for x in at for e in x["extents"])
+def covered(starts: np.ndarray, ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs of the bytes that the intervals cover, within a text of this size."""
     out: list[tuple[int, int]] = []
-    for start, end in parts:
+    for start, end in sorted(zip(np.maximum(starts, 0).tolist(), np.minimum(ends, size).tolist(), strict=True)):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], end))
         else:
