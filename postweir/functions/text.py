@@ -79,13 +79,14 @@ def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = Fals
     """Positions (ascending) of the keywords that occur in the text as substrings.
 
     Keywords are lower-cased, the text is not, unless `case_insensitive`. A keyword that is
-    listed twice is reported twice. Keywords are grouped by their first `gate` characters; a group whose
+    listed twice is reported twice, an empty one never. Keywords are grouped by their first `gate` characters; a group whose
     beginning is nowhere in the text is passed over.
     """
     text = F.lower(c) if case_insensitive else c
     groups: dict[str, list[tuple[int, str]]] = {}
     for i, word in enumerate(k.lower() for k in keywords):
-        groups.setdefault(word[:gate], []).append((i, word))
+        if word:
+            groups.setdefault(word[:gate], []).append((i, word))
     if not groups:
         return F.array().cast("array<int>")
     table = F.array(*[

@@ -94,7 +94,7 @@ def dataset_fanout(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     parted = with_exact_split(df, keys, 0.2, seed)
     rows = dataset_rows(parted, [*keys, "is_test"])
     # at most 12 names x 2 flags
-    split = with_exact_split(rows, keys, 0.2, seed + 1, ["dataset", "is_test"], few_groups=True, name="_dev")
+    split = with_exact_split(rows, keys, 0.2, seed + 1, ["dataset", "is_test"], few_groups=True, name="_dev", stage=False)
     return split.select(
         "dataset",
         F.when(F.col("is_test"), "test").otherwise("train").alias("part"),

@@ -68,12 +68,18 @@ def run_metrics(classes: DataFrame) -> DataFrame:
     )
 
 
-def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction",
-                          positive: str = "1") -> DataFrame:
+def classification_report(df: DataFrame, label: str = "label", prediction: str = "prediction", positive: str = "1",
+                          averaging: list[str] | None = None, label_mapping: dict[str, str] | None = None,
+                          metrics: list[str] | None = None) -> DataFrame:
     """(run, metric, label, value) of every run in the column `run`; `label` is NULL for averages.
 
-    A run with at most two labels, one of them `positive`, also gets the `_binary` metrics of that label.
+    A run with at most two labels, one of them `positive`, also gets the `_binary` metrics of that label. `averaging` keeps
+    some of micro, macro, weighted and binary; `metrics` keeps some of accuracy, precision, recall, f1, matthews_corrcoef and cohen_kappa;
+    `label_mapping` replaces labels on both sides before they are compared, others stay.
     """
+    if label_mapping:
+        pairs = F.create_map(*[F.lit(x) for pair in label_mapping.items() for x in pair])
+        df = df.withColumns({c: F.coalesce(F.try_element_at(pairs, F.col(c).cast("string")), F.col(c).cast("string")) for c in (label, prediction)})
     classes = class_metrics(confusion_matrix(df, label, prediction))
     names = ("precision", "recall", "f1")
     # one row per (run, label): a few numbers per class, wide enough to be reused
@@ -90,4 +96,11 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
     wide = run_metrics(classes)
     averages = wide.unpivot(["run"], [c for c in wide.columns if c != "run"], "metric", "value")
     averages = averages.select("run", "metric", F.lit(None).cast("string").alias("label"), "value")
-    return averages.unionByName(by_label)
+    report = averages.unionByName(by_label)
+    if averaging is not None:
+        unwanted = [a for a in ("micro", "macro", "weighted", "binary") if a not in averaging]
+        report = report.filter(~F.substring_index("metric", "_", -1).isin(unwanted))
+    if metrics is not None:
+        family = F.regexp_replace("metric", "_(micro|macro|weighted|binary)$", "")
+        report = report.filter(family.isin(metrics))
+    return report

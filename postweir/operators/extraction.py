@@ -15,10 +15,11 @@ from postweir.schema import COUNT_COLUMNS, NESTED_POST, POST_COLUMNS
 LINE_ORDER = ["nested", "file_path", "block_start", "line_no"]
 
 
-def post_copies(parsed: DataFrame, emit_nested: bool = True) -> DataFrame:
+def post_copies(parsed: DataFrame, emit_nested: bool = True, bad: str | None = None) -> DataFrame:
     """One row per copy of a post: the line's own and the quoted and retweeted ones inside.
 
-    `parsed` has the struct `post` and the line position of `parse_lines`.
+    `parsed` has the struct `post` and the line position of `parse_lines`. With `bad`, the name of a column, rows without a post stay
+    if they have that one, which comes along.
     """
     outer = F.struct(*[F.col(f"post.{f.name}") for f in NESTED_POST.fields[:-2]],
                      _stub("quoted_status").alias("quoted_status"), _stub("retweeted_status").alias("retweeted_status"))
@@ -28,10 +29,12 @@ def post_copies(parsed: DataFrame, emit_nested: bool = True) -> DataFrame:
             F.struct(F.lit(True).alias("nested"), F.col(f"post.{name}").alias("post"))
             for name in ("quoted_status", "retweeted_status")
         ]
-    exploded = parsed.select("file_path", "block_start", "line_no", F.explode(F.array(*copies)).alias("copy"))
-    exploded = exploded.filter(F.col("copy.post").isNotNull())
+    more = [bad] if bad else []
+    none = F.array(F.struct(F.lit(False).alias("nested"), F.lit(None).cast(NESTED_POST).alias("post")))
+    exploded = parsed.select("file_path", "block_start", "line_no", *more, F.explode(F.when(F.col("post").isNull(), none).otherwise(F.array(*copies))).alias("copy"))
+    exploded = exploded.filter(F.col("copy.post").isNotNull() | (F.col(bad).isNotNull() if bad else F.lit(False)))
     post = F.col("copy.post")
-    return exploded.select("copy.nested", "file_path", "block_start", "line_no", *P.post_fields(post))
+    return exploded.select("copy.nested", "file_path", "block_start", "line_no", *more, *P.post_fields(post))
 
 
 def _stub(name: str):
@@ -70,6 +73,29 @@ def finish_posts(winners: DataFrame, keywords: list[str], stop_words: list[str],
     return tagged.select(*POST_COLUMNS)
 
 
+def touched_ids(copies: DataFrame) -> DataFrame:
+    """(id): the posts whose winner or counts depend on these copies."""
+    ids = F.array("id", "in_reply_to_status_id", "quoted_status_id", "retweeted_status_id")
+    return copies.select(F.explode(ids).alias("id")).filter(F.col("id").isNotNull()).distinct()
+
+
+def posts_of(copies: DataFrame, ids: DataFrame, keywords: list[str], stop_words: list[str], *, extract_retweets: bool = False,
+             extract_quotes: bool = True, dedup: bool = True, count_replies: bool = True) -> DataFrame:
+    """Posts of the given ids with counts over all of `copies`, as one extraction of everything would give them.
+
+    Only the narrow columns of `copies` are read to find the posts that refer to the ids.
+    """
+    winners = distinct_posts(copies.join(ids, "id", "left_semi"))
+    targets = ["in_reply_to_status_id", "quoted_status_id", "retweeted_status_id"]
+    top = copies.filter(~F.col("nested")).select("id", *LINE_ORDER, *targets, "is_retweet")
+    pointing = top.select(F.col("id").alias("source"), F.explode(F.array(*targets)).alias("id")).filter(F.col("id").isNotNull())
+    sources = pointing.join(ids, "id", "left_semi").select(F.col("source").alias("id")).distinct()
+    referring = top.join(sources, "id", "left_semi")
+    counts = interaction_counts(distinct_posts(referring) if dedup else referring, count_replies)
+    posts = finish_posts(winners, keywords, stop_words, extract_retweets, extract_quotes)
+    return with_counts(posts, counts).select(*POST_COLUMNS, *COUNT_COLUMNS)
+
+
 def extract_posts(parsed: DataFrame, keywords: list[str], stop_words: list[str], *, extract_retweets: bool = False,
                   extract_quotes: bool = True, dedup: bool = True, count_replies: bool = True,
                   emit_nested: bool = True, stage: str | None = None) -> DataFrame:
@@ -84,6 +110,12 @@ def extract_posts(parsed: DataFrame, keywords: list[str], stop_words: list[str],
     if stage:
         winners.write.mode("overwrite").parquet(stage)
         winners = parsed.sparkSession.read.parquet(stage)
+    return posts_from(winners, keywords, stop_words, extract_retweets=extract_retweets, extract_quotes=extract_quotes, dedup=dedup, count_replies=count_replies)
+
+
+def posts_from(winners: DataFrame, keywords: list[str], stop_words: list[str], *, extract_retweets: bool = False,
+               extract_quotes: bool = True, dedup: bool = True, count_replies: bool = True) -> DataFrame:
+    """Posts with counts from the distinct copies, or from all copies if `dedup` is off."""
     counts = interaction_counts(winners.filter(~F.col("nested")), count_replies)
     kept = winners if dedup else distinct_posts(winners)
     posts = finish_posts(kept, keywords, stop_words, extract_retweets, extract_quotes)

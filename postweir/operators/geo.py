@@ -15,7 +15,8 @@ from postweir.operators.keyed import first_per_key, spread_join
 from postweir.session import ensure_checkpoint_dir
 
 STRIP = 0.5  # height of a lookup strip, degrees
-LEVELS = [0.5 * 2**k for k in range(11)]  # cell sizes of the nearest-polygon search; the last spans ±512 degrees
+# cell sizes of the nearest-polygon search; the last has one cell on each side of zero, so every point finds a level
+LEVELS = [0.5 * 2**k for k in range(12)] + [1e300]
 
 # Corrections of the country table. Codes by English name, and former or
 # overseas codes with the country that stands in for them.
@@ -164,11 +165,13 @@ def place_key(c: Column) -> Column:
 def with_gazetteer(df: DataFrame, gazetteer: DataFrame, location: str = "user_location") -> DataFrame:
     """Third step: rows still without a position take the one of their author's location.
 
-    The gazetteer is (location, lon, lat, country_code), one row per location.
+    The gazetteer is (location, lon, lat, country_code); of locations that differ in case or outer blanks only, the first by
+    spelling, then by position, counts.
     """
     asks = (F.col("geo_type") == 0) & (F.trim(F.col(location)) != "")
     known = gazetteer.select(place_key(F.col("location")).alias("_key"), F.col("lon").alias("_lon"),
-                             F.col("lat").alias("_lat"), F.col("country_code").alias("_code"))
+                             F.col("lat").alias("_lat"), F.col("country_code").alias("_code"), F.col("location").alias("_spelling"))
+    known = first_per_key(known, ["_key"], ["_spelling", "_lon", "_lat", "_code"]).drop("_spelling")
     joined = spread_join(df.withColumn("_key", place_key(F.col(location))), known, ["_key"], asks)
     found = F.col("_lon").isNotNull()
     filled = joined.withColumns({

@@ -20,16 +20,16 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def spread_join(df: DataFrame, lookup: DataFrame, keys: list[str], asks: Column, how: str = "left", spread: int = 4096) -> DataFrame:
+def spread_join(df: DataFrame, lookup: DataFrame, keys: list[str], asks: Column, how: str = "left") -> DataFrame:
     """Join in which only the rows that `asks` selects can find a partner; the others pass through.
 
     Rows that ask nothing (most posts have no position, many users no name) would all hash to one
-    partition under a NULL key. They carry a running number as a further key instead, which spreads them.
+    partition under a NULL key. They carry their row's number as a further key instead, which spreads them evenly whatever their number.
     """
     asks = F.coalesce(asks, F.lit(False))
-    turn = F.when(asks, 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(spread)))
-    left = df.withColumn("_turn", turn.cast("int"))
-    return left.join(lookup.withColumn("_turn", F.lit(0)), [*keys, "_turn"], how).drop("_turn")
+    turn = F.when(asks, F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    left = df.withColumn("_turn", turn)
+    return left.join(lookup.withColumn("_turn", F.lit(-1).cast("bigint")), [*keys, "_turn"], how).drop("_turn")
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
@@ -103,15 +103,21 @@ def with_exact_split(
     few_groups: bool = False,
     digits: int = 4,
     name: str = "is_test",
+    stage: bool = True,
 ) -> DataFrame:
     """Flag ceil(test_size * n) rows as test, per group of `by`; the keys must identify a row of the group.
 
+    The rows are read several times, so they are checkpointed first; a caller whose rows are cheap to read again sets `stage` to false.
+
     The cut is found by counting leading hash digits (at most 16**digits cells per group) and
     ranking only the rows of the one cell in which the cut falls. Without `by` the table is
     neither sorted nor shuffled. With `by` it is joined with one cut per group; set
     `few_groups` only where the groups are a fixed short list, so that table can be broadcast.
     """
     by = by or []
+    if stage:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint()
     small = F.broadcast if few_groups else (lambda table: table)
     hashed = df.withColumn("_hash", seeded_hash(keys, seed)).withColumn("_cell", F.substring("_hash", 1, digits))
     cells = hashed.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
@@ -147,7 +153,7 @@ def with_exact_split(
 def train_dev_test(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
     """Column `split`: 20 % test, then 20 % of the rest dev, the remainder train."""
     outer = with_exact_split(df, keys, 0.2, seed)
-    inner = with_exact_split(outer, keys, 0.2, seed + 1, ["is_test"], few_groups=True, name="_dev")
+    inner = with_exact_split(outer, keys, 0.2, seed + 1, ["is_test"], few_groups=True, name="_dev", stage=False)
     split = F.when(F.col("is_test"), "test").when(F.col("_dev"), "dev").otherwise("train")
     return inner.withColumn("split", split).drop("is_test", "_dev")
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postweir.functions.text import collapse_spaces
-from postweir.session import broadcast_if_small, ensure_checkpoint_dir
+from postweir.operators.keyed import spread_join
+from postweir.session import ensure_checkpoint_dir
 
 
 def trigrams(text: Column) -> Column:
@@ -37,33 +38,38 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     )
 
 
-def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
-                max_broadcast: int = 2_000_000) -> DataFrame:
+def gram_counts(text: Column) -> Column:
+    """array<struct<gram, times>>: the distinct trigrams of one text with their numbers."""
+    grams = F.array_sort(trigrams(text))
+    ends = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == F.size(grams)) | (F.get(grams, i) != F.get(grams, i - 1)))
+    counted = F.transform(ends, lambda end, i: F.struct(
+        F.get(grams, end - 1).alias("gram"), (end - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("times")
+    ))
+    return F.when(F.size(grams) > 0, counted)
+
+
+def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys…, detected): the most likely language of each text, NULL when no trigram of it is known.
 
-    The profile becomes one row per trigram with one weight per language. Up to `max_broadcast`
-    rows it is broadcast: the trigrams of a text then never leave the map task, which reduces them to one row
-    of scores. A larger profile is joined by shuffle, after the trigrams were counted per text.
+    The profile becomes one row per trigram with one weight per language. The trigrams of a text are counted within its row, then meet the
+    profile; Spark's own estimate decides whether the profile is broadcast. Texts without trigrams stay in the same
+    pass, so the input is read once.
     """
     # one row per language, some tens
     bases = [(r["lang"], r["base"]) for r in profiles.select("lang", "base").distinct().orderBy("lang").collect()]
     weights = profiles.groupBy("gram").agg(*[
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (lang, _) in enumerate(bases)
     ])
-    weights, small = broadcast_if_small(weights, max_broadcast)
-    grams = df.select(*keys, F.explode(trigrams(F.col(text))).alias("gram"))
-    if small:
-        grams = grams.withColumn("times", F.lit(1))
-    else:
-        grams = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("times"))
-    sums = grams.join(weights, "gram", "left").groupBy(*keys).agg(
+    # a text without trigrams gets a row of its own that asks nothing
+    counted = F.coalesce(gram_counts(F.col(text)), F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("times"))))
+    grams = df.select(*keys, F.explode(counted).alias("g")).select(*keys, "g.gram", "g.times")
+    sums = spread_join(grams, weights, ["gram"], F.col("gram").isNotNull()).groupBy(*keys).agg(
         F.sum("times").alias("n"),
         F.count("w0").alias("known"),
         *[F.sum(F.coalesce(f"w{i}", F.lit(0.0)) * F.col("times")).alias(f"s{i}") for i in range(len(bases))],
-    ).filter("known > 0")
+    )
     scores = [
         F.struct((F.col(f"s{i}") + F.col("n") * F.lit(base)).alias("score"), F.lit(lang).alias("lang"))
         for i, (lang, base) in enumerate(bases)
     ]
-    found = sums.select(*keys, F.array_max(F.array(*scores))["lang"].alias("detected"))
-    return df.select(*keys).join(found, keys, "left")
+    return sums.select(*keys, F.when(F.col("known") > 0, F.array_max(F.array(*scores))["lang"]).alias("detected"))

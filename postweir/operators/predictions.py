@@ -8,7 +8,10 @@ from postweir.operators.keyed import zip_rows
 
 
 def merge_predictions(users: DataFrame, parts: list[DataFrame], key: str = "user_id") -> DataFrame:
-    """Users with the columns of every part, joined by key; a user missing in a part gets NULLs."""
+    """Users with the columns of every part, joined by key; a user missing in a part gets NULLs.
+
+    The key must be unique in each part: a part that has one twice would multiply the user. Parts without a key are for `merge_by_position`.
+    """
     merged = users.select(key)
     for part in parts:
         merged = merged.join(part, key, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postweir.functions.stats import binomial_test
@@ -16,16 +16,15 @@ def group_significance(df: DataFrame, group: str, success: str, alternative: str
                        level: float = 0.05) -> DataFrame:
     """Successes, trials, fraction, p-value and Bonferroni flag per group.
 
-    Rows without a group count towards the overall rate only. The test gets one row per group.
+    Rows without a group count towards the overall rate only. The test gets one row per group; the input is evaluated once.
     """
     hit = F.col(success).cast("int")
-    groups = df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("grp")).agg(
-        F.sum(hit).alias("successes"), F.count(hit).alias("trials")
-    )
-    overall = df.select(F.avg(hit).alias("p")).scalar()
-    tests = df.filter(F.col(group).isNotNull()).select(F.count_distinct(group).alias("n")).scalar()
-    # scalars become plain columns before Arrow sees them
-    rated = groups.withColumns({"overall": overall, "tests": tests})
+    # one pass over the input; what follows has one row per group
+    counted = df.groupBy(F.col(group).alias("grp")).agg(F.sum(hit).alias("successes"), F.count(hit).alias("trials"))
+    over = Window.partitionBy(F.lit(0))
+    rated = counted.select(
+        "*", (F.sum("successes").over(over) / F.sum("trials").over(over)).alias("overall"), F.count("grp").over(over).alias("tests")
+    ).filter(F.col("grp").isNotNull())
     tested = rated.withColumn("p_value", binomial_test(F.col("successes"), F.col("trials"), F.col("overall"), alternative))
     return tested.select(
         "grp", "successes", "trials",

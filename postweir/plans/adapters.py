@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.session import fill_cores
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table for work that is heavy per row: all cores get a share of a single file."""
-    return fill_cores(table(spark, sf_dir, name))
+    """A table of texts."""
+    return table(spark, sf_dir, name)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +96,7 @@ def raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         inner("purchase").alias("quoted_status"),
         inner("view").alias("retweeted_status"),
     )
-    return fill_cores(events(spark, sf_dir)).select("event_id", "day", "hh", "event_type", F.to_json(post).alias("line"))
+    return events(spark, sf_dir).select("event_id", "day", "hh", "event_type", F.to_json(post).alias("line"))
 
 
 def noisy_lines(raw: DataFrame) -> DataFrame:

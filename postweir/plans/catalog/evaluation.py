@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from postweir.operators import evaluation, significance
 from postweir.plans import adapters as A
+from postweir.plans.run_report import run_test_report
+from postweir.session import scratch_path
+from postweir.sources.tables import write_labelled_csv
 
 
 def _rated(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,12 +57,24 @@ def classification_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.classification_report(_runs(spark, sf)).withColumn("value", F.round("value", 6))
 
 
+def positional_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled CSV and keyless prediction lines in the same order, glued by position; labels 1 and 2 count as one."""
+    root = scratch_path(spark, "positional")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("label").cast("string").alias("label"), (F.col("vec_id") % 10).cast("string").alias("guess"))
+    ordered = rows.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+    write_labelled_csv(ordered.select(F.concat(F.lit("text "), "vec_id").alias("text"), "label"), f"{root}/test")
+    ordered.select(F.col("guess").alias("label")).write.json(f"{root}/predictions")
+    report = run_test_report(spark, f"{root}/test", f"{root}/predictions", "run", f"{root}/out", averaging=["macro"], label_mapping={"2": "1"}, metrics=["accuracy", "f1"])
+    return report.withColumn("value", F.round("value", 6))
+
+
 QUERIES = {
     "binom_two_sided": binom_two_sided,
     "binom_greater": binom_greater,
     "value_counts": value_counts,
     "confusion_matrix": confusion_matrix,
     "classification_report": classification_report,
+    "positional_report": positional_report,
 }
 
 
@@ -88,6 +103,16 @@ _RUNS = """runs AS (
 ORACLES = {
     "binom_two_sided": _binomial_sql("lang", "two-sided"),
     "binom_greater": _binomial_sql("CASE WHEN source <> 'src0' THEN source END", "greater"),
+    "positional_report": """
+WITH r AS (
+  SELECT CASE WHEN label = 2 THEN '1' ELSE CAST(label AS VARCHAR) END AS y, CASE WHEN vec_id % 10 = 2 THEN '1' ELSE CAST(vec_id % 10 AS VARCHAR) END AS z FROM embeddings),
+names AS (SELECT y AS c FROM r UNION SELECT z FROM r),
+m AS (
+  SELECT c, 2 * count(*) FILTER (WHERE y = c AND z = c) / (count(*) FILTER (WHERE y = c) + count(*) FILTER (WHERE z = c)) AS f1
+  FROM names, LATERAL (SELECT y, z FROM r WHERE y = c OR z = c) GROUP BY c)
+SELECT 'run' AS run, 'accuracy' AS metric, CAST(NULL AS VARCHAR) AS label, round((SELECT avg(CAST(y = z AS INTEGER)) FROM r), 6) AS value
+UNION ALL SELECT 'run', 'f1_macro', NULL, round((SELECT avg(f1) FROM m), 6)
+UNION ALL SELECT 'run', 'f1', c, round(f1, 6) FROM m""",
     "value_counts": "SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang",
     "confusion_matrix": f"WITH {_RUNS} SELECT run, y AS label, z AS prediction, count(*) AS n FROM runs GROUP BY ALL",
     "classification_report": f"""

@@ -11,6 +11,8 @@ from postweir.functions.posts import parse_created_at, retained, user_mentions
 from postweir.operators import extraction, interactions, retweeters
 from postweir.plans import adapters as A
 from postweir.plans.catalog.text import sql_normalize
+from postweir.plans.extract_stream import run_extraction
+from postweir.schema import USER_COLUMNS
 from postweir.session import scratch_path
 from postweir.sources import posts as post_files
 from postweir.sources import raw, shards
@@ -73,6 +75,10 @@ def _parsed(spark: SparkSession, sf: str) -> DataFrame:
 def extract_with_nested(spark: SparkSession, sf: str) -> DataFrame:
     # parsed once: both branches read the staged copies
     posts = extraction.extract_posts(_parsed(spark, sf), _KEYWORDS, _STOP, stage=scratch_path(spark, "copies"))
+    return _shape(posts)
+
+
+def _shape(posts: DataFrame) -> DataFrame:
     return posts.select(
         "id", "text", "user_id", "user_description", "user_is_verified", "is_retweet", "has_quote", "is_reply",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
@@ -81,6 +87,23 @@ def extract_with_nested(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def extract_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs with a ledger: the first half of the capture, the second half, then replies that came late into intervals of the first."""
+    root, out, ledger = (scratch_path(spark, name) for name in ("raw", "posts", "ledger"))
+    lines = A.noisy_lines(A.raw_json(spark, sf)).select(
+        F.substring("day", 1, 4).alias("y"), F.substring("day", 6, 2).alias("m"), F.substring("day", 9, 2).alias("d"),
+        F.when(F.col("hh") < "12", "00").otherwise("12").alias("h"), "event_id", "n", "value",
+    )
+    reply = F.get_json_object("value", "$.in_reply_to_status_id_str").isNotNull()
+    late = reply & (F.col("event_id") % 10 == 0) & F.col("d").between("03", "06")
+    second = ~late & (F.col("d") >= "16")
+    for part in (~late & (F.col("d") < "16"), second, late):
+        placed = lines.filter(part).repartition("y", "m", "d", "h").sortWithinPartitions("y", "m", "d", "h", "event_id", "n")
+        placed.select("y", "m", "d", "h", "value").write.mode("append").partitionBy("y", "m", "d", "h").text(root)
+        run_extraction(spark, root, out, _KEYWORDS, _STOP, ledger=ledger, start=None)
+    return _shape(post_files.read_posts(spark, out))
+
+
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     post = F.col("post")
     return _parsed(spark, sf).select(
@@ -145,17 +168,20 @@ def sharded_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def retweet_user_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Post 0 goes viral: each of its retweets counts six hundred times. Users lack most fields, some their location too."""
     customers = A.table(spark, sf, "customer")
     wanted = A.events(spark, sf).filter(F.col("target").cast("int") % 2 == 0).select(F.col("target").alias("id"))
     retweets = A.posts(spark, sf).filter("is_retweet").select("id", "retweeted_status_id", "user_id")
+    times = F.when(F.col("retweeted_status_id") == "0", 600).otherwise(1)
+    viral = retweets.withColumn("n", F.explode(F.sequence(F.lit(1), times))).withColumn("id", F.concat_ws("-", "id", "n")).drop("n")
     # the stream captures some posts twice
-    twice = retweets.unionByName(retweets.filter(F.col("user_id").cast("int") < 40))
+    twice = viral.unionByName(viral.filter(F.col("user_id").cast("int") < 40))
     rows = retweeters.retweeters(twice, wanted, ["user_id"])
-    users = rows.join(customers, F.col("user_id") == F.col("c_custkey").cast("string")).select(
-        "id", "retweeted_status_id", "user_id", F.col("c_name").alias("user_name"), F.col("c_mktsegment").alias("user_location")
-    )
-    fields = F.struct("user_id", "user_name", "user_location")
-    return retweeters.to_json_lines(retweeters.grouped_users(users, fields))
+    place = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))
+    have = {"user_id": F.col("user_id"), "user_name": F.col("c_name"), "user_location": place}
+    user = F.struct(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in USER_COLUMNS])
+    users = rows.join(customers, F.col("user_id") == F.col("c_custkey").cast("string"))
+    return retweeters.to_json_lines(retweeters.grouped_users(users, user, parts=8))
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +204,18 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, slim, "ingested")
 
 
+def stream_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The capture as a stream in several triggers, with the columns of the batch table."""
+    lines = ingest.stream_raw(spark, _capture(spark, sf), max_files=25)
+    out = scratch_path(spark, "streamed")
+    posts = ingest.stream_table(lines, _KEYWORDS, _STOP)
+    ingest.write_stream(posts, out, f"{out}-checkpoint", ["dt", "hour"]).awaitTermination()
+    return spark.read.schema(posts.schema).parquet(out).select(
+        "id", "text", "user_id", "user_description", "has_quote", "is_reply", F.array_join("user_mentions", ",").alias("mentions"), "token_count",
+        F.array_join("matched_keywords", ",").alias("keywords"), F.date_format("dt", "yyyy-MM-dd").alias("day"), F.col("hour").cast("bigint").alias("hour"),
+    )
+
+
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     posts = ingest.stream_posts(ingest.stream_raw(spark, _capture(spark, sf)))
     return _run(spark, ingest.dedup_stream(posts).select("id", "user_id"), "distinct")
@@ -187,6 +225,8 @@ def stream_hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     target = F.coalesce("retweeted_status_id", "quoted_status_id", "in_reply_to_status_id")
     edges = _event_stream(spark, sf).select("created_at", target.alias("target")).filter(F.col("target").isNotNull())
     counts = _run(spark, ingest.hourly_counts(edges), "hourly")
+    stored = A.posts(spark, sf).select("created_at", target.alias("target")).filter(F.col("target").isNotNull())
+    counts = counts.unionByName(ingest.open_hours(stored, counts))  # the run has ended: the hours it held back
     return counts.select(F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "target", "n")
 
 
@@ -195,6 +235,7 @@ QUERIES = {
     "retention_filter": retention_filter,
     "parse_lenient": parse_lenient,
     "extract_with_nested": extract_with_nested,
+    "extract_incremental": extract_incremental,
     "mentions": mentions,
     "parse_created_at": created_at,
     "interval_prune": interval_prune,
@@ -204,6 +245,7 @@ QUERIES = {
     "sharded_roundtrip": sharded_roundtrip,
     "retweet_user_dump": retweet_user_dump,
     "stream_ingest": stream_ingest,
+    "stream_table": stream_table,
     "stream_dedup": stream_dedup,
     "stream_hourly_counts": stream_hourly_counts,
 }
@@ -293,18 +335,32 @@ WITH n AS (SELECT md5({sql_normalize('text')}) AS digest FROM documents)
 SELECT 'parquet' AS side, digest FROM n UNION ALL SELECT 'txt', digest FROM n""",
     "retweet_user_dump": f"""
 WITH r AS (
-  SELECT CAST(event_id AS VARCHAR) AS id, props->>'$.k' AS t, CAST(user_id AS VARCHAR) AS uid, user_id
-  FROM events WHERE event_type = 'view' AND {_K} % 2 = 0)
-SELECT '{{"' || t || '":[' || string_agg('{{"user_id":"' || uid || '","user_name":"' || c_name || '","user_location":"'
-       || c_mktsegment || '"}}', ',' ORDER BY uid, id) || ']}}' AS value
-FROM r JOIN customer ON user_id = c_custkey GROUP BY t""",
+  SELECT CAST(event_id AS VARCHAR) || '-' || n AS id, props->>'$.k' AS t, CAST(user_id AS VARCHAR) AS uid, user_id
+  FROM events, LATERAL (SELECT unnest(range(1, CASE WHEN {_K} = 0 THEN 601 ELSE 2 END)) AS n)
+  WHERE event_type = 'view' AND {_K} % 2 = 0),
+p AS (
+  SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 8 AS part,
+         '{{"user_id":"' || uid || '","user_screen_name":null,"user_name":"' || c_name || '","user_description":null,"user_timezone":null,"user_location":'
+         || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END
+         || ',"user_num_followers":null,"user_num_following":null,"user_created_at":null,"user_statuses_count":null,"user_is_verified":null}}' AS u
+  FROM r JOIN customer ON user_id = c_custkey)
+SELECT '{{"id":"' || t || '","part":' || part || ',"parts":8,"users":[' || string_agg(u, ',' ORDER BY uid, id) || ']}}' AS value
+FROM p GROUP BY t, part""",
     "stream_ingest": f"""
 WITH {_EV}, {_LINES}
 SELECT id, uid AS user_id, et = 'view' AS is_retweet, CASE WHEN et = 'view' THEN nid END AS retweeted_status_id FROM lines""",
+    "stream_table": f"""
+WITH {_EV}, {_LINES}
+SELECT id, CASE WHEN et = 'error' THEN 'full text of ' || id ELSE 'Event & ' || et || ' value https://ex.org/' || id || ' corona' END AS text,
+       uid AS user_id, 'Bio of & ' || uid AS user_description, et = 'purchase' AS has_quote, et = 'click' AS is_reply,
+       CASE et WHEN 'click' THEN uid WHEN 'purchase' THEN uid || ',' || k WHEN 'error' THEN k END AS mentions,
+       CAST(CASE WHEN et = 'error' THEN 2 ELSE 4 END AS BIGINT) AS token_count, CASE WHEN et = 'error' THEN '' ELSE '0,4' END AS keywords,
+       strftime(ts, '%Y-%m-%d') AS day, CAST(hour(ts) AS BIGINT) AS hour
+FROM lines WHERE et <> 'view'""",
     "stream_dedup": f"WITH {_EV} SELECT id, uid AS user_id FROM ev",
     "stream_hourly_counts": """
 WITH e AS (SELECT ts, props->>'$.k' AS target FROM events WHERE event_type IN ('view', 'purchase', 'click'))
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start, target, count(*) AS n FROM e
-WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM e) - INTERVAL 1 HOUR
 GROUP BY 1, 2""",
 }
+ORACLES["extract_incremental"] = ORACLES["extract_with_nested"]

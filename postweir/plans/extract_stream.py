@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.operators.extraction import extract_posts
-from postweir.session import scratch_path, ship_package
+from postweir.operators import extraction
+from postweir.operators.keyed import first_per_key
+from postweir.session import remove_path, scratch_path, ship_package, use_utc
 from postweir.sources import posts as post_files
 from postweir.sources import raw
 
@@ -27,32 +28,73 @@ def _load(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if exists else None
 
 
+def _replace_intervals(rows: DataFrame, path: str, intervals: list[str]) -> None:
+    """Replace the given intervals of a table that is partitioned by `interval`; one without rows loses its folder."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("interval").parquet(path)
+    full = {r["interval"] for r in rows.select("interval").distinct().collect()}  # one short string per hour of capture
+    for interval in intervals:
+        if interval not in full:
+            remove_path(spark, f"{path}/interval={interval}")
+
+
 def run_extraction(spark: SparkSession, root: str, out: str, keywords: list[str], stop_words: list[str], *,
                    ledger: str | None = None, bad_lines: str | None = None, start: str | None = FIRST_DAY,
                    end: str | None = None, by: str = raw.HOUR, **flags: bool) -> Extraction:
     """Extract all capture files, or with a ledger the intervals whose files have changed.
 
-    The interval keys are collected: one short string per hour of capture. Later runs merge
-    into the table; `flags` go to `extract_posts`.
+    With a ledger, the copies of all posts are kept beside the output (`out`-copies), partitioned by capture interval. A later run replaces
+    the pending intervals there, then computes anew the posts that their old or new lines hold or refer to, over all copies: several runs give
+    what one would have given. The interval keys are collected: one short string per hour of capture. Lines are parsed once, for
+    posts and bad lines; bad lines are kept per interval. `flags` go to `extract_posts`.
     """
     ship_package(spark)
+    use_utc(spark)
     files = raw.list_files(spark, root, by).filter(raw.in_interval_range(F.col("interval"), start, end))
-    known = _load(spark, ledger) if ledger else None
+    store = f"{out.rstrip('/')}-copies"
+    copies_known = _load(spark, store) if ledger else None
+    stored = _load(spark, out)
+    later = copies_known is not None and stored is not None
+    known = _load(spark, ledger) if ledger and later else None
     pending = files.select("interval").distinct() if known is None else raw.pending_intervals(files, known)
     intervals = sorted(row["interval"] for row in pending.collect())
     if not intervals:
         return Extraction(0, 0)
     wanted = None if known is None else intervals
-    good, bad = raw.parse_lines(raw.read_raw(spark, root, start, end, wanted, by))
-    extracted = extract_posts(good, keywords, stop_words, stage=scratch_path(spark, "copies"), **flags)
-    stored = _load(spark, out)
-    written = post_files.write_posts(extracted, out, by=by) if known is None or stored is None else post_files.merge_posts(extracted, out, by)
+    emit_nested, dedup = flags.pop("emit_nested", True), flags.get("dedup", True)
+    staged = scratch_path(spark, "copies")
+    parsed = raw.parse_all(raw.read_raw(spark, root, start, end, wanted, by))
+    placed = extraction.post_copies(parsed, emit_nested, bad="bad").withColumn("interval", raw.path_interval(F.col("file_path"), by))
+    placed.write.parquet(staged)
+    lines = spark.read.parquet(staged)
+    found = lines.filter(F.col("id").isNotNull()).drop("bad")
+    if dedup:
+        found = first_per_key(found, ["interval", "id"], extraction.LINE_ORDER)
+    if not later:
+        ids = None
+    else:
+        before = copies_known.filter(F.col("interval").isin(intervals))
+        touched = scratch_path(spark, "touched")
+        extraction.touched_ids(before.select(found.columns).unionByName(found)).write.parquet(touched)
+        ids = spark.read.parquet(touched)
+    if ledger:
+        _replace_intervals(found, store, intervals)
+        found = spark.read.parquet(store)
+    if ids is None:
+        winners = extraction.distinct_posts(found) if dedup else found
+        written = post_files.write_posts(extraction.posts_from(winners, keywords, stop_words, **flags), out, by=by)
+    else:
+        written = post_files.merge_posts(extraction.posts_of(found, ids, keywords, stop_words, **flags), out, by, ids)
+        remove_path(spark, touched)
     if bad_lines:
-        bad.write.mode("append").parquet(bad_lines)
+        bad = lines.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("value"), *extraction.LINE_ORDER[1:], "interval")
+        _replace_intervals(bad, bad_lines, intervals)
+    remove_path(spark, staged)
     if ledger:
         done = spark.createDataFrame([(i,) for i in intervals], "interval string")
         empty = spark.createDataFrame([], "interval string, file string")
-        staged = scratch_path(spark, "ledger")
-        raw.updated_ledger(files, empty if known is None else known, done).write.parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").parquet(ledger)
+        fresh = scratch_path(spark, "ledger")
+        raw.updated_ledger(files, empty if known is None else known, done).write.parquet(fresh)
+        spark.read.parquet(fresh).write.mode("overwrite").parquet(ledger)
+        remove_path(spark, fresh)
     return Extraction(len(intervals), written)

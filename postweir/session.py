@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,8 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "postweir", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -40,14 +41,23 @@ def build_session(app_name: str = "postweir", master: str | None = None, conf: d
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only a local master may fall back to a fresh temporary folder.
+    Only a local master (one process) may fall back to a temporary folder: one for each session, removed at its end.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return tempfile.mkdtemp(prefix="postweir-")
+    if not getattr(context, "_postweir_root", None):
+        context._postweir_root = tempfile.mkdtemp(prefix="postweir-")
+        atexit.register(shutil.rmtree, context._postweir_root, ignore_errors=True)
+    return context._postweir_root
+
+
+def use_utc(spark: SparkSession) -> None:
+    """Days and hours of posts are those of UTC, whatever session a job is given."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -94,22 +104,3 @@ def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
                 spark.conf.unset(name)
             else:
                 spark.conf.set(name, value)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """The table with a broadcast hint if it has at most `max_rows` rows, and whether it has.
-
-    Counting stops at the limit; give it a table that is cheap to read twice.
-    """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(df) if small else df), small
-
-
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cores if it has fewer partitions than there are cores.
-
-    For work that costs much CPU per row. An input of many files is left as it is, so nothing is
-    shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

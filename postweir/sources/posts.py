@@ -9,7 +9,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.session import scratch_path, session_conf
+from postweir.session import remove_path, scratch_path, session_conf
 
 
 def interval_columns(by: str = "hour") -> dict[str, Column]:
@@ -39,21 +39,59 @@ def write_posts(posts: DataFrame, path: str, mode: str = "overwrite", by: str =
     return seen.get["rows"]
 
 
-def merge_posts(posts: DataFrame, path: str, by: str = "hour") -> int:
-    """Add posts to a written table: a stored post of the same id is replaced, the others of its interval stay.
+def _folders(df: DataFrame, by: str) -> set[tuple[str | None, int | None]]:
+    """The (dt, hour) pairs of a table; bounded by the hours there are."""
+    parts = list(interval_columns(by))
+    return {(row["dt"], row["hour"] if by == "hour" else None) for row in df.select(*parts).distinct().collect()}
+
+
+def _in_folders(folders: set[tuple[str | None, int | None]], by: str) -> Column:
+    """A condition on the partition columns alone, so that Spark drops the other folders while planning."""
+    hours: dict[str | None, list[int | None]] = {}
+    for day, hour in sorted(folders, key=str):
+        hours.setdefault(day, []).append(hour)
+    condition = F.lit(False)
+    for day, some in hours.items():
+        here = F.col("dt").eqNullSafe(F.lit(day).cast("string"))
+        if by == "hour":
+            known = [h for h in some if h is not None]
+            here = here & (F.coalesce(F.col("hour").isin(known), F.lit(False)) | (F.col("hour").isNull() if None in some else F.lit(False)))
+        condition = condition | here
+    return condition
+
+
+def _folder_path(path: str, folder: tuple[str | None, int | None], by: str) -> str:
+    none = "__HIVE_DEFAULT_PARTITION__"
+    day, hour = folder
+    return f"{path}/dt={none if day is None else day}" + (f"/hour={none if hour is None else hour}" if by == "hour" else "")
+
+
+def merge_posts(posts: DataFrame, path: str, by: str = "hour", ids: DataFrame | None = None) -> int:
+    """Put posts into a written table in the place of the stored posts of `ids` (id; by default those of the new posts).
 
-    Only touched folders are read and replaced; the merged rows are staged first because the
-    table cannot be read and replaced at once.
+    The folders that hold such posts or receive new ones are found first, from the ids alone, and become literal conditions on the partition
+    columns; only they are read and replaced. Posts without a time have a folder of their own. The merged
+    rows are staged because a table cannot be read and replaced at once. A folder that is left empty is removed.
     """
     spark = posts.sparkSession
     staged, merged = scratch_path(spark, "new-posts"), scratch_path(spark, "merged-posts")
     posts.withColumns(interval_columns(by)).write.parquet(staged)
     new = spark.read.parquet(staged)
     parts = list(interval_columns(by))
+    gone = new.select("id") if ids is None else ids.select("id")
     stored = spark.read.parquet(path).withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
-    kept = stored.join(new.select(*parts).distinct(), parts, "left_semi").join(new.select("id"), "id", "left_anti")
+    before = _folders(stored.select("id", *parts).join(gone, "id", "left_semi"), by)
+    folders = before | _folders(new, by)
+    kept = stored.filter(_in_folders(folders, by)).join(gone, "id", "left_anti")
     new.unionByName(kept.select(new.columns)).write.parquet(merged)
-    return write_posts(spark.read.parquet(merged).drop(*parts), path, by=by, dynamic=True)
+    rows = spark.read.parquet(merged)
+    left = _folders(rows, by)
+    written = write_posts(rows.drop(*parts), path, by=by, dynamic=True)
+    for folder in before - left:
+        remove_path(spark, _folder_path(path, folder, by))
+    for scratch in (staged, merged):
+        remove_path(spark, scratch)
+    return written
 
 
 def _bound(value: str | datetime) -> datetime:

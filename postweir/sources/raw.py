@@ -74,10 +74,10 @@ def _literal_to_json(lines: pd.Series) -> pd.Series:
     return lines.map(convert, na_action="ignore")
 
 
-def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, bad): posts as struct `post`, and lines that are neither JSON nor a Python literal.
+def parse_all(lines: DataFrame) -> DataFrame:
+    """(post, bad, position) of each line that holds either: a post as struct, or the line itself if it is neither JSON nor a Python literal.
 
-    Empty lines and objects without an id belong to neither. Only lines that are no JSON reach Python.
+    Empty lines and objects without an id are left out. Only lines that are no JSON reach Python.
     """
     schema = RAW_POST_WITH_CORRUPT
     parsed = lines.filter(F.length("value") > 1).withColumn(
@@ -88,10 +88,20 @@ def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = parsed.withColumn(
         "post", once(F.when(F.col("_fixed").isNotNull(), F.from_json("_fixed", schema)).otherwise(F.col("_json")))
     )
-    place = ["file_path", "block_start", "line_no"]
-    good = parsed.filter(F.col("post.id").isNotNull()).select("post", *place)
-    bad = parsed.filter(broken & F.col("_fixed").isNull()).select("value", *place)
-    return good, bad
+    found = parsed.select(
+        F.when(F.col("post.id").isNotNull(), F.col("post")).alias("post"), F.when(broken & F.col("_fixed").isNull(), F.col("value")).alias("bad"),
+        "file_path", "block_start", "line_no",
+    )
+    return found.filter(F.col("post").isNotNull() | F.col("bad").isNotNull())
+
+
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): posts as struct `post`, and broken lines as `value`, each with its position.
+
+    A job that wants both writes `parse_all` once and reads it twice.
+    """
+    both, place = parse_all(lines), ["file_path", "block_start", "line_no"]
+    return both.filter(F.col("post").isNotNull()).select("post", *place), both.filter(F.col("bad").isNotNull()).select(F.col("bad").alias("value"), *place)
 
 
 def pending_intervals(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from postweir.operators.extraction import post_copies
+from postweir.operators.extraction import finish_posts, post_copies
+from postweir.sources.posts import interval_columns
 from postweir.sources.raw import parse_lines
 
 
@@ -30,6 +31,16 @@ def stream_posts(lines: DataFrame) -> DataFrame:
     return post_copies(good, emit_nested=False)
 
 
+def stream_table(lines: DataFrame, keywords: list[str], stop_words: list[str], extract_retweets: bool = False,
+                 extract_quotes: bool = True, by: str = "hour") -> DataFrame:
+    """The rows and columns of the batch table without its counts: retained top-level posts, normalised and tagged, with `dt` and `hour`.
+
+    Nested copies and counts need all lines and stay with the batch extraction. Write it with `partition_by` dt and hour.
+    """
+    posts = finish_posts(stream_posts(lines), keywords, stop_words, extract_retweets, extract_quotes)
+    return posts.withColumns(interval_columns(by))
+
+
 def dedup_stream(posts: DataFrame, time: str = "created_at", delay: str = "1 hour") -> DataFrame:
     return posts.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id"])
 
@@ -40,6 +51,17 @@ def hourly_counts(edges: DataFrame, time: str = "created_at", target: str = "tar
     return counts.select(F.col("window.start").alias("hour_start"), target, "n")
 
 
+def open_hours(edges: DataFrame, emitted: DataFrame, time: str = "created_at", target: str = "target") -> DataFrame:
+    """Counts of the hours that a finished run of `hourly_counts` still held back, from the stored edges.
+
+    An hour is emitted whole, so the hours missing in `emitted` are those to count; an hour is one of few, and the join has
+    one row for each.
+    """
+    hours = edges.withColumn("hour_start", F.date_trunc("hour", time))
+    rest = hours.join(emitted.select("hour_start").distinct(), "hour_start", "left_anti")
+    return rest.groupBy("hour_start", target).agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
     """Append everything available now to parquet and stop."""
     writer: DataStreamWriter = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

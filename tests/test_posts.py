@@ -108,10 +108,10 @@ def test_grouped_users_split_hot_posts(spark):
     df = spark.createDataFrame(rows, "id string, retweeted_status_id string, user_id string")
     wanted = spark.createDataFrame([("hot",), ("cold",), ("hot",)], "id string")
     distinct = retweeters.retweeters(df.union(df), wanted, ["user_id"])
-    grouped = retweeters.grouped_users(distinct, F.struct("user_id"), max_users=150)
+    grouped = retweeters.grouped_users(distinct, F.struct("user_id", F.lit(None).cast("string").alias("user_location")), parts=4)
     parts = {(r["retweeted_status_id"], r["part"]): len(r["users"]) for r in grouped.collect()}
     assert sum(n for (i, _), n in parts.items() if i == "hot") == 200
-    assert len([1 for (i, _) in parts if i == "hot"]) == 2
-    assert parts[("cold", 0)] == 100
-    line = json.loads(retweeters.to_json_lines(grouped).filter("value like '%cold%'").first()["value"])
-    assert line["cold"][0] == {"user_id": "u0"}
+    assert len([1 for (i, _) in parts if i == "hot"]) == len([1 for (i, _) in parts if i == "cold"]) == 4
+    lines = [json.loads(r["value"]) for r in retweeters.to_json_lines(grouped).collect()]
+    assert {tuple(line) for line in lines} == {("id", "part", "parts", "users")}
+    assert all(u["user_location"] is None for line in lines for u in line["users"])

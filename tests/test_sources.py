@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from postweir.plans import annotation_study, bios, extract_stream, retweeter_dump
-from postweir.operators import language, predictions
+from postweir.operators import language, predictions, retweeters
+from postweir.schema import USER_COLUMNS
 from postweir.sources import posts as post_files
 from postweir.sources import raw, shards, tables
 from tests.test_posts import post, user
@@ -99,7 +100,7 @@ def test_shards(spark, tmp_path):
 
 def test_small_tables(spark, tmp_path):
     (tmp_path / "k.txt").write_text("#a\nb c\n\n#a\n", encoding="utf-8")
-    assert tables.read_keywords(spark, str(tmp_path / "k.txt")) == ["#a", "b c", "#a"]
+    assert tables.read_keywords(spark, str(tmp_path / "k.txt")) == ["#a", "b c", "", "#a"]
     (tmp_path / "p.jsonl").write_text('{"label": "x", "label_probabilities": [0.9, 0.1]}\n')
     assert tables.read_predictions(spark, str(tmp_path / "p.jsonl"), "type").first().asDict() == {"type_label": "x", "type_probabilities": [0.9, 0.1]}
     df = spark.createDataFrame([('say "hi",\nyou', "l"), ("", "m")], "text string, label string")
@@ -125,6 +126,66 @@ def test_extraction_runs_and_continues(spark, tmp_path):
     assert [r["value"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["nonsense"]
 
 
+COUNTS = ["num_replies", "num_quotes", "num_retweets"]
+
+
+def test_several_runs_equal_one(spark, tmp_path):
+    root = tmp_path / "raw"
+    quoted = lambda pid, time, text="original": post(pid, text=text) | {"created_at": f"{time} +0000 2020"}
+    hours = {
+        "07/10": [at("1", "Thu May 07 10:00:00"), at("2", "Thu May 07 10:30:00", quoted_status=quoted("7", "Thu May 07 09:00:00")), at("90", "no time")],
+        "07/11": [at("3", "Thu May 07 11:00:00", in_reply_to_status_id_str="1"), at("4", "Thu May 07 11:10:00", retweeted_status=quoted("1", "Thu May 07 10:00:00", "nested copy"))],
+        "07/12": [at("5", "Thu May 07 12:00:00", in_reply_to_status_id_str="1"), at("7", "Thu May 07 09:00:00"), at("6", "Thu May 07 12:00:00", quoted_status=quoted("7", "Thu May 07 09:00:00")), at("91", "no time")],
+    }
+    run = lambda out, ledger=None: extract_stream.run_extraction(spark, str(root), str(tmp_path / out), ["text"], ["the"], ledger=ledger, extract_retweets=True)
+    read = lambda out: sorted(tuple(r) for r in post_files.read_posts(spark, str(tmp_path / out), ["id", "text", "created_at", *COUNTS]).collect())
+    for n, (hour, lines) in enumerate(hours.items()):
+        put(root, hour, "a", lines)
+        assert run("steps", str(tmp_path / "ledger")).intervals == 1
+        run(f"whole{n}")
+        assert read("steps") == read(f"whole{n}")
+    # an old interval changes: a line goes, another one comes
+    put(root, "07/11", "a", [hours["07/11"][1], at("8", "Thu May 07 11:20:00", retweeted_status=quoted("1", "Thu May 07 10:00:00"))])
+    put(root, "07/11", "b", [""])
+    assert run("steps", str(tmp_path / "ledger")).intervals == 1
+    run("whole")
+    assert read("steps") == read("whole")
+    assert {r[0]: r[3:] for r in read("steps")}["1"] == (1, 0, 2)
+    put(root, "07/11", "c", [""])
+    (root / "2020/05/07/11/a").write_text("\n")
+    run("steps", str(tmp_path / "ledger"))
+    run("last")
+    assert read("steps") == read("last") and "3" not in {r[0] for r in read("steps")}
+
+
+def test_merge_reads_touched_folders_only(spark, tmp_path):
+    rows = lambda *pairs: spark.createDataFrame([(i, t) for i, t in pairs], "id string, created_at timestamp")
+    path = str(tmp_path / "t")
+    post_files.write_posts(rows(("a", None), ("b", datetime(2020, 5, 7, 10)), ("d", datetime(2020, 5, 8, 10))), path)
+    post_files.merge_posts(rows(("c", None), ("b", datetime(2020, 5, 7, 11))), path)
+    stored = spark.read.parquet(path)
+    assert sorted(r["id"] for r in stored.collect()) == ["a", "b", "c", "d"]
+    assert not (tmp_path / "t/dt=2020-05-07/hour=10").exists()
+    plan = stored.withColumn("dt", F.date_format("dt", "yyyy-MM-dd")).filter(post_files._in_folders({("2020-05-08", 10), (None, None)}, "hour"))
+    assert len(plan.inputFiles()) == 3 and "PartitionFilters: []" not in plan._jdf.queryExecution().toString()
+    assert sorted(r["id"] for r in plan.collect()) == ["a", "c", "d"]
+
+
+def test_nothing_is_left_behind(spark, tmp_path):
+    import os
+
+    from postweir.session import shared_root
+
+    put(tmp_path / "raw", "07/10", "a", [at("1", "Thu May 07 10:00:00"), "nonsense"])
+    scratch = os.path.join(shared_root(spark), "postweir")
+    before = set(os.listdir(scratch)) if os.path.isdir(scratch) else set()
+    for hour in ("07/10", "07/11"):
+        put(tmp_path / "raw", hour, "b", [at("2", "Thu May 07 11:00:00", in_reply_to_status_id_str="1"), "more nonsense"])
+        extract_stream.run_extraction(spark, str(tmp_path / "raw"), str(tmp_path / "out"), ["x"], [], ledger=str(tmp_path / "l"), bad_lines=str(tmp_path / "bad"))
+    assert set(os.listdir(scratch)) == before
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["more nonsense", "more nonsense", "nonsense"]
+
+
 def test_retweeter_dump(spark, tmp_path):
     root = tmp_path / "raw"
     put(root, "07/10", "a", [at(str(i), "Thu May 07 10:00:00", retweeted_status=post("1" if i % 2 else "2"), user=user(f"u{i}")) for i in range(10, 20)] * 2)
@@ -132,7 +193,10 @@ def test_retweeter_dump(spark, tmp_path):
     (tmp_path / "ids").write_text("1\n3\n")
     retweeter_dump.run_dump(spark, str(root), str(tmp_path / "ids"), str(tmp_path / "out"))
     lines = [json.loads(line) for p in (tmp_path / "out").glob("*.txt") for line in p.read_text().splitlines()]
-    assert len(lines) == 1 and [u["user_id"] for u in lines[0]["1"]] == ["u11", "u13", "u15", "u17", "u19"]
+    assert {line["id"] for line in lines} == {"1"} and {line["parts"] for line in lines} == {retweeters.PARTS}
+    users = [u for line in lines for u in line["users"]]
+    assert sorted(u["user_id"] for u in users) == ["u11", "u13", "u15", "u17", "u19"]
+    assert all(list(u) == USER_COLUMNS for u in users)
 
 
 def docs(spark, n=60):
@@ -140,12 +204,10 @@ def docs(spark, n=60):
     return spark.createDataFrame(rows, "user_id string, user_description string, lang string")
 
 
-def test_language_paths_agree(spark):
+def test_languages(spark):
     df = docs(spark).union(spark.createDataFrame([("x", "123 !!", None), ("y", None, None)], "user_id string, user_description string, lang string"))
     profiles = language.train_profiles(df, "user_description")
     small = {r["user_id"]: r["detected"] for r in language.detect_lang(df, profiles, ["user_id"], "user_description").collect()}
-    large = {r["user_id"]: r["detected"] for r in language.detect_lang(df, profiles, ["user_id"], "user_description", max_broadcast=3).collect()}
-    assert small == large
     assert small["1"] == "en" and small["2"] == "es" and small["x"] is None and small["y"] is None
 
 
