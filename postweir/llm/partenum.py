@@ -262,7 +262,8 @@ def _elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 codes = pa.array([set_code(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), codes, pa.ListArray.from_arrays(cuts, flat)], ["doc_id", "code", "elements"])
 
-    texts = _texts(docs).join(wanted.select("doc_id"), "doc_id", "left_semi")
+    # a merge join whatever the size, as the ids grow with the texts
+    texts = _texts(docs).join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi")
     found = texts.mapInArrow(cut, "doc_id long, code long, elements array<long>")
     # rows that repeat an id may hold other texts; only the wanted set counts, and once
     return found.join(wanted, ["doc_id", "code"], "left_semi").groupBy("code").agg(F.first("elements").alias("elements"))
@@ -324,6 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = found.groupBy("signature").agg(F.sum(F.xxhash64("code").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
     one = one.groupBy("sum", "n").agg(F.min("signature").alias("signature")).select("signature")
     found.join(one, "signature", "left_semi").write.parquet(f"{root}/groups")
+    remove_path(spark, f"{root}/members")
     release(spark)
     groups = spark.read.parquet(f"{root}/groups")
     maps = signed.where(F.length("bitmap") > 0).groupBy("code").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
@@ -343,6 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _candidates(groups, maps, labels).join(forest, ["a", "b"], "left_anti").write.parquet(f"{root}/rest")
     release(spark)
     _similar(spark.read.parquet(f"{root}/rest"), sets).write.parquet(f"{root}/links1")
+    remove_path(spark, f"{root}/elements")
     release(spark)
     links = spark.read.parquet(f"{root}/links0", f"{root}/links1")
     labels = connect(links, f"{root}/connect1")
@@ -352,10 +355,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = labels.join(component, "label").join(degree, "code", "left").select("code", "component", "n_links")
     known = least.withColumnRenamed("doc_id", "own").join(linked, "code", "left")
     rows = signed.select("doc_id", "n", "code").join(known, "code", "left")
-    return rows.select(
+    rows.select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "own")).alias("component_id"),
-    )
+    ).write.parquet(result := scratch_path(spark, "components"))
+    remove_path(spark, root)
+    return spark.read.parquet(result)
 
 
 def _members(signed: DataFrame) -> DataFrame:
