@@ -27,10 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that are linked by near similarity, the one with the least id; of repeated rows, one."""
     ship_package(spark)
-    path = scratch_path(spark, "copies")
-    partenum.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id").write.parquet(path)
-    found = spark.read.parquet(path)
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    found = partenum.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id")
+    # a merge join whatever the size, as the ids grow with the texts
+    copies = found.where("component_id <> doc_id").select("doc_id").hint("merge")
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
@@ -47,11 +47,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [KIND] in the place of personal data; n_chars follows the text."""
     ship_package(spark)
-    found = pii.find_personal_data(docs)
-    masked = found.withColumn("text", pii.mask(F.col("text"), F.col("spans")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return masked.select(*docs.columns)
+    return pii.mask_personal_data(docs)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweir.session import ensure_checkpoint_dir, scratch_path
+from postweir.session import ensure_checkpoint_dir, remove_path, scratch_path
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed formats, written so that no run of characters is tried twice from within: each begins where its run begins or the last match ended.
@@ -122,16 +122,16 @@ def learn_patterns(found: DataFrame) -> DataFrame:
     return final.join(seeded, "left").select("left", F.col("of").alias("kind"), ranks.alias("rank"), "score")
 
 
-def find_personal_data(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def find_personal_data(docs: DataFrame, keep: list[str] | None = None, stage: str | None = None) -> DataFrame:
     """The columns `keep` of each row with `base` and `spans`: arrays of (start, rank, end, kind) over the whole text (null: empty).
 
     `spans` has the base spans and those of the learned patterns that overlap none of them, by start, then rank. Rows may repeat. The
-    rows are written once with what was found in them, so that they are scanned once.
+    rows are written once with what was found in them (to `stage`, else a scratch folder), so that they are scanned once.
     """
     spark = docs.sparkSession
     keep = list(keep or docs.columns)
     text = F.coalesce(F.col("text"), F.lit(""))
-    path = scratch_path(spark, "personal")
+    path = stage or scratch_path(spark, "personal")
     docs.select(
         F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_kept"), base_spans(text).alias("base"), candidates(text).alias("cands"),
     ).write.parquet(path)
@@ -169,3 +169,23 @@ def mask(text: Column, spans: Column) -> Column:
         ),
     )
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(state["parts"], ""), F.substr(text, state["at"] + 1)))
+
+
+def mask_personal_data(docs: DataFrame) -> DataFrame:
+    """All rows and columns, with [KIND] in the place of personal data; n_chars, where there is such a column, follows the text.
+
+    Texts are not staged: their spans are found and kept by a digest of the text, and meet the texts again in one join. Equal texts have equal
+    spans, so rows may repeat, and a null text stays null. The join is a merge join whatever the size, as its small side grows with the texts.
+    """
+    spark = docs.sparkSession
+    code = F.sha2(F.col("text").cast("binary"), 256)
+    found_at, spans_at = scratch_path(spark, "personal"), scratch_path(spark, "spans")
+    found = find_personal_data(docs.select("text", code.alias("_code")), ["_code"], found_at).where(F.size("spans") > 0)
+    found.groupBy("_code").agg(F.first("spans").alias("_spans")).write.parquet(spans_at)
+    remove_path(spark, found_at)
+    rows = docs.withColumn("_code", code).join(spark.read.parquet(spans_at).hint("merge"), "_code", "left")
+    hit = F.col("_spans").isNotNull()
+    masked = rows.withColumn("text", F.when(hit, mask(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)
