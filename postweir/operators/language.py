@@ -1,36 +1,89 @@
-"""Language identification by letter trigrams, learned from labelled texts."""
+"""Language identification by letter trigrams, learned from labelled texts.
+
+A trigram is one number: three code points of 21 bits. Texts become letters and single spaces inside the JVM; the trigrams are counted by one sort of a
+text's numbers in an Arrow kernel, so the work grows with the length of the text (times its logarithm) and no gram crosses as a string.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from postweir.functions.text import collapse_spaces
 from postweir.operators.keyed import spread_join
-from postweir.session import ensure_checkpoint_dir
+from postweir.session import ensure_checkpoint_dir, scratch_path
 
+#: Characters counted at once in a task; a longer text is counted alone and whole.
+SLICE_CHARS = 1 << 20
 
-def trigrams(text: Column) -> Column:
-    """All overlapping trigrams of the lower-cased letters, words separated and framed by a space.
 
-    One pass of a look-ahead; letters beyond the basic plane count as separators.
-    """
-    letters = collapse_spaces(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+|[\x{10000}-\x{10FFFF}]+", " "))
-    framed = F.when(letters != "", F.concat(F.lit(" "), letters, F.lit(" ")))
-    return F.regexp_extract_all(framed, F.lit("(?=(...))"), 1)
+def letters_of(text: Column) -> Column:
+    """The lower-cased letters, words separated by one space; letters beyond the basic plane count as separators."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[[^\p{L}\p{M}]\x{10000}-\x{10FFFF}]+", " "))
+
+
+def gram_code(gram: str) -> int:
+    """The number of a trigram."""
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
+
+
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all texts in a row, words framed by spaces, and the place of each one's text in the list."""
+    texts = [f" {t} " if t else "" for t in texts]
+    lengths = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    inside = owner[:-2] == owner[2:] if len(points) > 2 else np.zeros(0, bool)
+    codes = (points[:-2] << 42) | (points[1:-1] << 21) | points[2:]
+    return codes[inside], owner[:-2][inside]
+
+
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    first = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text or "") > SLICE_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(text or "")
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, ascending, and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
+def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of each slice of texts."""
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, j in _slices(texts):
+            codes, owner = _grams(texts[i:j])
+            names = sorted(set(langs[i:j]))
+            lang = np.array([names.index(x) for x in langs[i:j]], np.int64)[owner]
+            for k, name in enumerate(names):
+                grams, times = _counts(codes[lang == k])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(times, pa.int64())], ["lang", "gram", "n"])
 
 
 def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(gram, lang, weight, base): add-one smoothed log probabilities.
+    """(gram, lang, weight, base): add-one smoothed log probabilities; `gram` is the number of a trigram.
 
     `base` is the language's value for a trigram it never saw, `weight` what a seen one adds to it.
-    The counts, far smaller than the texts, are checkpointed: the texts are read once.
+    Counts are summed within a task first. The counts, far smaller than the texts, are checkpointed: the texts are read once.
     """
     ensure_checkpoint_dir(labelled.sparkSession)
-    grams = labelled.filter(F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram")
-    )
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    rows = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letters_of(F.col(text)).alias("t"))
+    partial = rows.mapInArrow(_count_by_language, "lang string, gram bigint, n bigint")
+    counts = partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")).checkpoint()
     vocabulary = counts.select(F.count_distinct("gram").alias("v")).scalar()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     return counts.join(totals, "lang").select(
@@ -38,14 +91,31 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     )
 
 
+_GRAM_COUNTS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("times", T.IntegerType())]))
+
+
+@F.arrow_udf(_GRAM_COUNTS)
+def _counted(texts: pa.Array) -> pa.Array:
+    values = texts.to_pylist()
+    codes, times, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for i, j in _slices(values):
+        grams, owner = _grams(values[i:j])
+        bounds = np.searchsorted(owner, np.arange(j - i + 1))
+        for first, last in zip(bounds, bounds[1:], strict=False):
+            found, n = _counts(grams[first:last])
+            codes.append(found)
+            times.append(n)
+            sizes.append(len(found))
+    sizes = np.array(sizes, np.int64)
+    none = np.append(sizes == 0, False)
+    cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=none if none.any() else None)
+    counts = pa.StructArray.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(times).astype(np.int32))], ["gram", "times"])
+    return pa.ListArray.from_arrays(cuts, counts)
+
+
 def gram_counts(text: Column) -> Column:
-    """array<struct<gram, times>>: the distinct trigrams of one text with their numbers."""
-    grams = F.array_sort(trigrams(text))
-    ends = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == F.size(grams)) | (F.get(grams, i) != F.get(grams, i - 1)))
-    counted = F.transform(ends, lambda end, i: F.struct(
-        F.get(grams, end - 1).alias("gram"), (end - F.coalesce(F.get(ends, i - 1), F.lit(0))).alias("times")
-    ))
-    return F.when(F.size(grams) > 0, counted)
+    """array<struct<gram, times>>: the distinct trigrams of one text, as numbers, with how often they occur; NULL without letters."""
+    return _counted(letters_of(text))
 
 
 def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -60,8 +130,12 @@ def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str =
     weights = profiles.groupBy("gram").agg(*[
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (lang, _) in enumerate(bases)
     ])
+    # as a written table Spark knows its size, and joins it where the texts are if it is small enough
+    staged = scratch_path(df.sparkSession, "profile")
+    weights.write.parquet(staged)
+    weights = df.sparkSession.read.parquet(staged)
     # a text without trigrams gets a row of its own that asks nothing
-    counted = F.coalesce(gram_counts(F.col(text)), F.array(F.struct(F.lit(None).cast("string").alias("gram"), F.lit(0).alias("times"))))
+    counted = F.coalesce(gram_counts(F.col(text)), F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("times"))))
     grams = df.select(*keys, F.explode(counted).alias("g")).select(*keys, "g.gram", "g.times")
     sums = spread_join(grams, weights, ["gram"], F.col("gram").isNotNull()).groupBy(*keys).agg(
         F.sum("times").alias("n"),

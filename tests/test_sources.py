@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
+import time
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -211,6 +214,22 @@ def test_languages(spark):
     assert small["1"] == "en" and small["2"] == "es" and small["x"] is None and small["y"] is None
 
 
+def test_gram_counts_of_long_texts(spark):
+    """Every trigram is counted, and four times the text takes no more than some eight times the time."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé漢") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    made = {n: " ".join(rng.choice(words) for _ in range(n))[:n] for n in (50_000, 200_000)}
+    took = {}
+    for n, text in {0: "ab 1 Cd\U00010400e", **made}.items():
+        df = spark.createDataFrame([(text,)], "t string").select(language.gram_counts(F.col("t")).alias("g"))
+        begin = time.perf_counter()
+        got = {r["gram"]: r["times"] for r in df.first()["g"]}
+        took[n] = time.perf_counter() - begin
+        framed = " ab cd e " if n == 0 else f" {text.strip()} "
+        assert got == Counter(language.gram_code(framed[i : i + 3]) for i in range(len(framed) - 2))
+    assert took[200_000] < 8 * max(took[50_000], 0.5)
+
+
 def test_bio_corpora(spark, tmp_path):
     sources = [docs(spark), docs(spark, 10).withColumn("user_description", F.lit("abc"))]
     totals = bios.write_prediction_corpus(sources, str(tmp_path / "p"), ["user_id"])
