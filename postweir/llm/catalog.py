@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.llm import chat, leaks, packing, pages, partenum, pii, quality, records, repeats, spelling, toxicity
+from postweir.llm import chat, leaks, mixing, packing, pages, partenum, pii, quality, records, repeats, spelling, toxicity
 from postweir.llm.tokens import tokenizer_path
 from postweir.session import scratch_path
 
@@ -83,6 +83,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.count_words(table(spark, sf_dir, "documents"))
     return spelling.group_spellings(words).select("word", "form", "root", "n", "n_near", "form_n")
@@ -90,6 +95,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_suffix_repeats, op3_token_records, op4_partition_signatures, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
-    op9_pattern_packing, op10_quality_rules, op13_spelling_variants,
+    op9_pattern_packing, op10_quality_rules, op12_source_mixing, op13_spelling_variants,
 )}
 ORACLES: dict[str, str] = {}
