@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postweir.llm import chat, leaks, mixing, packing, pages, partenum, pii, quality, records, repeats, spelling, toxicity
+from postweir.llm import chat, leaks, mixing, packing, pages, partenum, pii, quality, ranking, records, repeats, spelling, toxicity
 from postweir.llm.tokens import tokenizer_path
-from postweir.session import scratch_path
+from postweir.session import remove_path, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "index")
+    ranking.build_index(table(spark, sf_dir, "documents"), path)
+    found = ranking.search(spark, path, table(spark, sf_dir, "benchmark"))
+    remove_path(spark, path)
+    return found
+
+
 def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("bigint").alias("taken"))
@@ -95,6 +103,26 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_suffix_repeats, op3_token_records, op4_partition_signatures, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
-    op9_pattern_packing, op10_quality_rules, op12_source_mixing, op13_spelling_variants,
+    op9_pattern_packing, op10_quality_rules, op11_lexical_search, op12_source_mixing, op13_spelling_variants,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_lexical_search": r"""
+WITH words AS (
+  SELECT doc_id, rowid AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT doc_id, text, row_number() OVER () AS rowid FROM documents)),
+tf AS (SELECT doc_id, r, term, count(*) AS tf FROM words GROUP BY ALL),
+doc AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM doc),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT item_id, text, row_number() OVER () AS k FROM benchmark)),
+scored AS (
+  SELECT item_id, k, doc_id, r, sum(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+         * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN doc USING (r) CROSS JOIN whole GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+}
