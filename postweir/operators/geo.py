@@ -11,12 +11,9 @@ from pyspark.sql import functions as F
 
 from postweir.functions import geo as G
 from postweir.functions import posts as P
+from postweir.operators import shapes
 from postweir.operators.keyed import first_per_key, spread_join
-from postweir.session import ensure_checkpoint_dir
-
-STRIP = 0.5  # height of a lookup strip, degrees
-# cell sizes of the nearest-polygon search; the last has one cell on each side of zero, so every point finds a level
-LEVELS = [0.5 * 2**k for k in range(12)] + [1e300]
+from postweir.session import scratch_path
 
 # Corrections of the country table. Codes by English name, and former or
 # overseas codes with the country that stands in for them.
@@ -52,84 +49,51 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
     return rings.select("ord", "iso_a2", F.inline(G.ring_edges(F.col("ring"))))
 
 
-def _cell(v: Column, size: float | Column) -> Column:
-    return F.floor(v / size).cast("bigint")
-
-
-def _edge(prefix: str = "") -> dict[str, Column]:
-    return {c: F.col(prefix + c) for c in ("x1", "y1", "x2", "y2")}
+def _valid(points: DataFrame) -> DataFrame:
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    return points.select(lon.alias("lon"), lat.alias("lat")).where(lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat))
 
 
-def countries_containing(points: DataFrame, edges: DataFrame, strip: float = STRIP) -> DataFrame:
+def countries_containing(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(lon, lat, iso_a2) of distinct points strictly inside a polygon; the first polygon in table order wins.
 
-    Point and edge meet by horizontal strip. Only edges that cross the point's ray, or hold the
-    point itself, leave the join.
+    Points meet the cell of a grid they lie in, and there only the edges near them; see `shapes`.
     """
-    y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    stripped = edges.withColumn("strip", F.explode(F.sequence(_cell(y_low, strip), _cell(y_high, strip))))
-    placed = points.withColumn("strip", _cell(F.col("lat"), strip))
-    lon, lat = F.col("lon"), F.col("lat")
-    crossing, touching = G.crosses_ray(lon, lat, _edge()), G.on_edge(lon, lat, _edge())
-    met = placed.join(stripped, "strip").filter(crossing | touching)
-    inside = met.groupBy("lon", "lat", "ord", "iso_a2").agg(
-        F.count_if(crossing).alias("crossings"), F.max(touching).alias("touching")
-    ).filter((F.col("crossings") % 2 == 1) & ~F.col("touching"))
-    return inside.groupBy("lon", "lat").agg(F.min(F.struct("ord", "iso_a2")).alias("first")).select(
-        "lon", "lat", F.col("first.iso_a2").alias("iso_a2")
-    )
-
+    grid = shapes.grid_of(edges)
+    if grid is None:
+        return _valid(points).limit(0).withColumn("iso_a2", F.lit(None).cast("string"))
+    return shapes.locate(_valid(points), shapes.grid_cells(edges, grid), grid).where("iso_a2 IS NOT NULL")
 
-def nearest_countries(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(lon, lat, iso_a2, distance) of the polygon with the closest edge, ties by table order. Exact.
 
-    Each point searches at the finest grid that has a polygon vertex in the 3 x 3 cells around it:
-    the vertex is nearer than 3 cell sizes, so every candidate edge lies within 3 cells.
-    """
-    levels = F.explode(F.array(*[F.lit(s) for s in LEVELS]))
-    neighbours = F.sequence(F.lit(-1), F.lit(1))
-    vertex_cells = edges.select("x1", "y1", levels.alias("size")).select(
-        "size", _cell(F.col("x1"), F.col("size")).alias("cx"), _cell(F.col("y1"), F.col("size")).alias("cy")
-    ).distinct()
-    occupied = (
-        vertex_cells.withColumn("dx", F.explode(neighbours)).withColumn("dy", F.explode(neighbours))
-        .select("size", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).distinct()
-    )
-    gridded = points.select("lon", "lat", levels.alias("size")).withColumns({
-        "cx": _cell(F.col("lon"), F.col("size")), "cy": _cell(F.col("lat"), F.col("size")),
-    })
-    level = gridded.join(occupied, ["size", "cx", "cy"], "left_semi").groupBy("lon", "lat").agg(F.min("size").alias("size"))
-    reach = F.sequence(F.lit(-3), F.lit(3))
-    asking = level.withColumn("dx", F.explode(reach)).withColumn("dy", F.explode(reach)).select(
-        "lon", "lat", "size",
-        (_cell(F.col("lon"), F.col("size")) + F.col("dx")).alias("cx"),
-        (_cell(F.col("lat"), F.col("size")) + F.col("dy")).alias("cy"),
-    )
-    spread = edges.withColumn("size", levels)
+def _closest(candidates: DataFrame) -> DataFrame:
+    best = candidates.groupBy("lon", "lat").agg(F.min(F.struct("distance", "ord", "iso_a2")).alias("best"))
+    return best.select("lon", "lat", "best.iso_a2", "best.distance")
 
-    def span(a: str, b: str) -> Column:
-        return F.explode(F.sequence(_cell(F.least(a, b), F.col("size")), _cell(F.greatest(a, b), F.col("size"))))
 
-    spread = spread.withColumn("cx", span("x1", "x2")).withColumn("cy", span("y1", "y2"))
-    near = asking.join(spread, ["size", "cx", "cy"])
-    distance = G.edge_distance(F.col("lon"), F.col("lat"), _edge())
-    best = near.groupBy("lon", "lat").agg(F.min(F.struct(distance.alias("distance"), "ord", "iso_a2")).alias("best"))
-    return best.select("lon", "lat", "best.iso_a2", "best.distance")
+def nearest_countries(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(lon, lat, iso_a2, distance) of the polygon with the closest edge for distinct points, ties by table order. Exact."""
+    grid = shapes.grid_of(edges)
+    if grid is None:
+        return _valid(points).limit(0).withColumns({"iso_a2": F.lit(None).cast("string"), "distance": F.lit(None).cast("double")})
+    return _closest(shapes.nearest_edges(_valid(points), shapes.grid_cells(edges, grid), grid))
 
 
 def countries_of_points(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(lon, lat, iso_a2) of every distinct point: the polygon around it, else the nearest one.
+    """(lon, lat, iso_a2) of every distinct point: the polygon around it, else the nearest one; NULL if there is no polygon.
 
-    The points and the first answer are checkpointed: both are small next to the posts and
-    used more than once.
+    The first answer is a written table: it is small next to the posts and used twice.
     """
-    ensure_checkpoint_dir(points.sparkSession)
-    distinct = points.select("lon", "lat").filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct().checkpoint()
+    spark = points.sparkSession
     edges = polygon_edges(polygons)
-    answered = distinct.join(countries_containing(distinct, edges), ["lon", "lat"], "left").checkpoint()
-    open_points = answered.filter(F.col("iso_a2").isNull()).select("lon", "lat")
-    nearest = nearest_countries(open_points, edges).drop("distance")
-    return answered.filter(F.col("iso_a2").isNotNull()).unionByName(nearest)
+    grid = shapes.grid_of(edges)
+    if grid is None:
+        return _valid(points).distinct().withColumn("iso_a2", F.lit(None).cast("string"))
+    cells = shapes.grid_cells(edges, grid)
+    path = scratch_path(spark, "located")
+    shapes.locate(_valid(points).distinct(), cells, grid).write.parquet(path)
+    answered = spark.read.parquet(path)
+    open_points = answered.where("iso_a2 IS NULL").select("lon", "lat")
+    return answered.where("iso_a2 IS NOT NULL").unionByName(_closest(shapes.nearest_edges(open_points, cells, grid)).drop("distance"))
 
 
 def with_regions(df: DataFrame, countries: DataFrame, code: str = "country_code") -> DataFrame:
@@ -182,15 +146,63 @@ def with_gazetteer(df: DataFrame, gazetteer: DataFrame, location: str = "user_lo
     return filled.select(df.columns)
 
 
-def geo_cascade(df: DataFrame, polygons: DataFrame, countries: DataFrame, gazetteer: DataFrame | None = None) -> DataFrame:
+#: What a post asks: nothing, the position of a location, the country of a position, the region of a country.
+_NOTHING, _LOCATION, _POSITION, _CODE = range(4)
+
+
+def _questions(df: DataFrame, location: str | None) -> DataFrame:
+    """Add the question of each row: what it asks and about which text or position."""
+    by_code = (F.col("geo_type") > 0) & F.col("country_code").isNotNull()
+    kind = F.when(by_code & (F.col("country_code") == ""), _POSITION).when(by_code, _CODE)
+    text = F.when(by_code, F.col("country_code"))
+    if location:
+        named = (F.col("geo_type") == 0) & (F.trim(F.col(location)) != "")
+        kind, text = kind.when(named, _LOCATION), text.when(named, place_key(F.col(location)))
+    positioned = by_code & (F.col("country_code") == "")
+    return df.withColumns({
+        "_asks": F.coalesce(kind, F.lit(_NOTHING)), "_text": F.coalesce(text, F.lit("")),
+        "_x": F.when(positioned, F.coalesce("lon", F.lit(float("nan")))).otherwise(0.0), "_y": F.when(positioned, F.coalesce("lat", F.lit(float("nan")))).otherwise(0.0),
+    })
+
+
+def geo_cascade(df: DataFrame, polygons: DataFrame, countries: DataFrame, gazetteer: DataFrame | None = None, location: str = "user_location") -> DataFrame:
     """Complete the candidates of `with_geo_candidates` to countries and regions.
 
-    The input is read twice: once for the distinct positions to look up, once for the result.
+    The distinct questions of the posts are answered in tables of their own: locations by the gazetteer, positions by the polygons, countries by the region table.
+    The answers, a written table whose size Spark knows, are joined to the posts that ask; it is broadcast if it is small, else those posts alone
+    are shuffled. Posts that ask nothing go by a branch of their own and are never shuffled. The input is read three times.
     """
+    spark = df.sparkSession
+    key = ["_asks", "_text", "_x", "_y"]
+    asked = _questions(df, location if gazetteer is not None else None)
+    staged = scratch_path(spark, "questions")
+    asked.where(F.col("_asks") != _NOTHING).select(*key).distinct().write.parquet(staged)
+    questions = spark.read.parquet(staged)
+    of = lambda kind: questions.where(F.col("_asks") == kind)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = of(_POSITION).select(*key, F.col("_x").alias("lon"), F.col("_y").alias("lat"), F.lit("").alias("country_code")).unionByName(
+        of(_CODE).select(*key, none("double").alias("lon"), none("double").alias("lat"), F.col("_text").alias("country_code")))
     if gazetteer is not None:
-        df = with_gazetteer(df, gazetteer)
-    asks = (F.col("geo_type") > 0) & (F.col("country_code") == "")
-    found = countries_of_points(df.filter(asks).select("lon", "lat"), polygons)
-    joined = spread_join(df, found, ["lon", "lat"], asks)
-    solved = joined.withColumn("country_code", F.when(asks, F.col("iso_a2")).otherwise(F.col("country_code")))
-    return with_regions(solved.select(df.columns), countries)
+        known = gazetteer.select(place_key(F.col("location")).alias("_text"), "lon", "lat", "country_code", F.col("location").alias("_spelling"))
+        known = first_per_key(known, ["_text"], ["_spelling", "lon", "lat", "country_code"]).drop("_spelling")
+        rows = rows.unionByName(of(_LOCATION).join(known.where("lon IS NOT NULL"), "_text").select(*key, "lon", "lat", "country_code"))
+    placed = scratch_path(spark, "placed")
+    rows.write.parquet(placed)
+    rows = spark.read.parquet(placed)
+    found = countries_of_points(rows.where("country_code = ''").select("lon", "lat"), polygons)
+    open_, closed = rows.where("country_code = ''"), rows.where("country_code <> '' OR country_code IS NULL")
+    solved = open_.drop("country_code").join(found, ["lon", "lat"], "left").withColumnRenamed("iso_a2", "country_code").unionByName(closed, allowMissingColumns=True)
+    answers = scratch_path(spark, "answers")
+    with_regions(solved, countries).select(
+        *key, *[F.col(c).alias(f"_{c}") for c in ("lon", "lat", "country_code")], "region", "subregion", F.lit(True).alias("_known")
+    ).write.parquet(answers)
+    joined = asked.where(F.col("_asks") != _NOTHING).join(spark.read.parquet(answers), key, "left")
+    located = F.col("_known") & (F.col("_asks") == _LOCATION)
+    filled = joined.withColumns({
+        "lon": F.when(located, F.col("_lon")).otherwise(F.col("lon")), "lat": F.when(located, F.col("_lat")).otherwise(F.col("lat")),
+        "country_code": F.when(F.col("_known"), F.col("_country_code")).otherwise(F.col("country_code")),
+        "geo_type": F.when(located, 3).otherwise(F.col("geo_type")),
+    })
+    silent = asked.where(F.col("_asks") == _NOTHING).withColumns({"region": none("string"), "subregion": none("string")})
+    columns = [*df.columns, "region", "subregion"]
+    return filled.select(columns).unionByName(silent.select(columns))

@@ -20,14 +20,21 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
     return df.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
+def content_hash(df: DataFrame) -> Column:
+    """A number from 0 that depends on the values of a row only; maps, which Spark does not hash, are left out."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.shiftrightunsigned(F.xxhash64(*hashed), 1) if hashed else F.lit(0).cast("bigint")
+
+
 def spread_join(df: DataFrame, lookup: DataFrame, keys: list[str], asks: Column, how: str = "left") -> DataFrame:
     """Join in which only the rows that `asks` selects can find a partner; the others pass through.
 
     Rows that ask nothing (most posts have no position, many users no name) would all hash to one
-    partition under a NULL key. They carry their row's number as a further key instead, which spreads them evenly whatever their number.
+    partition under a NULL key. They carry a hash of their own content as a further key instead, which spreads them and
+    stays the same when a task is run again.
     """
     asks = F.coalesce(asks, F.lit(False))
-    turn = F.when(asks, F.lit(-1)).otherwise(F.monotonically_increasing_id())
+    turn = F.when(asks, F.lit(-1)).otherwise(content_hash(df))
     left = df.withColumn("_turn", turn)
     return left.join(lookup.withColumn("_turn", F.lit(-1).cast("bigint")), [*keys, "_turn"], how).drop("_turn")
 

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from postweir.functions import geo as G
-from postweir.operators import geo
+from postweir.operators import geo, shapes
 
 SQUARE = [[0.0, 0.0], [10.0, 0.0], [10.0, 10.0], [0.0, 10.0]]
 HOLE = [[4.0, 4.0], [6.0, 4.0], [6.0, 6.0], [4.0, 6.0]]
@@ -101,3 +104,79 @@ def test_cascade(spark):
         "coords": ("SQ", "r", 1, 5.0), "place": ("ZZ", None, 2, 2.0), "empty": ("SQ", "r", 2, 2.0), "nobox": ("SQ", "r", 3, 2.0),
         "none": (None, None, 0, None), "null": (None, None, 0, None), "sea": ("SQ", "r", 1, -100.0),
     }
+
+
+@pytest.fixture(scope="module")
+def coast():
+    """An island of 20 000 edges whose coast is jagged, all of it along a short stretch but for three edges."""
+    rng = random.Random(11)
+    jagged = [[x * 0.0005, 2.0 + math.sin(x / 700) + rng.uniform(-0.02, 0.02)] for x in range(20_000)]
+    return [*jagged, [10.0, -30.0], [0.0, -30.0]]
+
+
+def edges_of(*rings):
+    lines = [(*a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    return np.array(lines, np.float64), np.repeat(np.arange(len(rings)), [len(r) for r in rings]).astype(np.int32)
+
+
+def test_points_meet_few_edges_of_a_dense_coast(spark, coast):
+    e, owner = edges_of(coast, SQUARE)
+    rng = np.random.default_rng(2)
+    near = np.stack([rng.uniform(0, 10, 2000), 2 + np.sin(rng.uniform(0, 10, 2000) / 0.35) + rng.normal(0, 0.1, 2000)], axis=1)
+    x, y = np.concatenate([near, rng.uniform(-60, 60, (2000, 2))]).T
+    corner, size = (-64.0, -64.0), 128.0
+    met, asked = np.zeros(len(x), int), np.zeros(len(x), int)
+    got = shapes.containing(x, y, corner, size, e, owner, np.array([False, False]), met)
+    distance, who = shapes.nearest(x, y, e, owner, asked)
+    assert met.max() < 100 and asked.max() < 100
+    crossing = (e[:, 1] > y[:, None]) != (e[:, 3] > y[:, None])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        at = e[:, 0] + (y[:, None] - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    for k in range(2):
+        odd = (crossing & (x[:, None] < at))[:, owner == k].sum(axis=1) % 2 == 1
+        assert ((got == k) == (odd if k == 0 else odd & (got != 0))).all()
+    every = shapes._distances(x, y, e)
+    assert np.allclose(distance, every.min(axis=1), rtol=0, atol=1e-12) and (owner[every.argmin(axis=1)] == who).mean() > 0.999
+    # the same through Spark: a cell's points are spread over rows of at most PIECE
+    table = polygons(spark, (0, "CO", [coast]), (1, "SQ", [SQUARE]))
+    grid = shapes.grid_of(geo.polygon_edges(table))
+    pieces = shapes._pieces(points(spark, zip(x.tolist(), y.tolist())), grid).collect()
+    assert max(len(r["xs"]) for r in pieces) <= 8 * shapes.PIECE and len({(r["cx"], r["cy"]) for r in pieces}) > 20
+    found = {(r["lon"], r["lat"]): r["iso_a2"] for r in geo.countries_of_points(points(spark, zip(x.tolist(), y.tolist())), table).collect()}
+    for i in range(len(x)):
+        assert found[x[i], y[i]] == ("CO", "SQ")[got[i] if got[i] >= 0 else who[i]]
+
+
+def test_lookups_on_grid_lines_and_far_away(spark):
+    """Points, vertices and edges on the lines of the grid, holes, shared borders, and positions far outside it."""
+    left, right = [[0.0, 0.0], [2.0, 0.0], [2.0, 4.0], [0.0, 4.0]], [[2.0, 0.0], [4.0, 0.0], [4.0, 4.0], [2.0, 4.0]]
+    hole = [[2.5, 1.0], [3.5, 1.0], [3.5, 2.0], [2.5, 2.0]]
+    kite = [[6.0, 0.0], [8.0, 2.0], [6.0, 4.0], [4.0, 2.0]]
+    table = polygons(spark, (0, "L", [left]), (1, "R", [right, hole]), (2, "K", [kite]), (3, "L2", [left]))
+    pairs = [(x / 4, y / 4) for x in range(-2, 36) for y in range(-2, 19)] + [(1e300, -1e300), (-1e12, 5.0)]
+    shapes_ = {"L": [left], "R": [right, hole], "K": [kite]}
+    got = {(r["lon"], r["lat"]): r["iso_a2"] for r in geo.countries_containing(points(spark, pairs), geo.polygon_edges(table)).collect()}
+    for x, y in pairs:
+        on_border = lambda ring: distance(ring, x, y) == 0
+        want = [k for k, rings in shapes_.items() if sum(inside(r, x, y) for r in rings) % 2 and not any(map(on_border, rings))]
+        assert got.get((x, y)) == (want[0] if want else None), (x, y)
+    odd = spark.createDataFrame([(float("nan"), 1.0), (None, 1.0), (1.0, 1.0)], "lon double, lat double")
+    assert [r["iso_a2"] for r in geo.countries_of_points(odd, table).collect()] == ["L"]
+    assert geo.countries_of_points(odd, table.limit(0)).collect()[0]["iso_a2"] is None and geo.nearest_countries(odd, geo.polygon_edges(table.limit(0))).count() == 0
+
+
+def test_posts_without_a_question_are_not_shuffled(spark, tmp_path):
+    posts = spark.range(50).select(
+        F.col("id"), F.when(F.col("id") < 5, 1.0 * F.col("id")).alias("lon"), F.when(F.col("id") < 5, 2.0).alias("lat"), F.when(F.col("id") < 5, "").alias("country_code"),
+        F.when(F.col("id") < 5, 1).otherwise(0).alias("geo_type"), F.when(F.col("id") % 9 == 7, "rome ").alias("user_location"),
+    )
+    posts.write.parquet(str(tmp_path / "posts"))
+    countries = spark.createDataFrame([(0, "SQ", "r", "s")], "ord int, iso_a2 string, region string, subregion string")
+    gazetteer = spark.createDataFrame([("Rome", 2.0, 2.0, "")], "location string, lon double, lat double, country_code string")
+    done = geo.geo_cascade(spark.read.parquet(str(tmp_path / "posts")), polygons(spark, (0, "SQ", [SQUARE])), countries, gazetteer)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    silent = plan[[m.start() for m in re.finditer(r"\n +\+- Project", plan)][-1] :]
+    assert "Union" in plan and "Scan" in silent and "Exchange" not in silent and "Join" not in silent
+    # the answers are few: the posts that ask are not shuffled either
+    assert "Exchange hash" not in plan and "BroadcastHashJoin" in plan
+    assert done.filter("region = 'r'").count() == 10 and done.count() == 50

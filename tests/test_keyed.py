@@ -69,3 +69,13 @@ def test_first_per_key_on_a_hot_key(spark):
     rows = keyed.first_per_key(df.repartition(8), ["k"], ["v"])
     assert rows.filter("k = -1").first()["v"] == 0
     assert rows.count() == df.select("k").distinct().count()
+
+
+def test_rows_that_ask_nothing_are_keyed_by_content(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"), F.create_map(F.lit("a"), "id").alias("m"))
+    lookup = spark.range(0, 1000, 20).select(F.col("id").alias("k"), F.lit(1).alias("hit")).hint("merge")
+    joined = keyed.spread_join(rows, lookup, ["k"], F.col("k").isNotNull())
+    plan = joined._jdf.queryExecution().toString()
+    assert "monotonically_increasing_id" not in plan and "xxhash64" in plan
+    assert joined.count() == 1000 and joined.filter("hit = 1").count() == 50 and joined.columns == ["k", "v", "m", "hit"]
+    assert keyed.spread_join(rows, lookup, ["k"], F.col("k").isNotNull(), "left_anti").count() == 950
