@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from postweir.session import remove_path, scratch_path
 
 #: A segment is closed once it has so many documents or entries; a file holds so many segments.
-SEGMENT_DOCS, SEGMENT_ENTRIES, FILE_SEGMENTS = 4096, 1 << 20, 4
+SEGMENT_DOCS, SEGMENT_ENTRIES, FILE_SEGMENTS = 2048, 1 << 19, 2
 #: Rows and columns of a cell that form one of the next level, as a power of two.
 FAN_BITS = 2
 #: Ranges opened at once, and terms of the items searched in one job.
