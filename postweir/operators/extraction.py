@@ -79,18 +79,19 @@ def touched_ids(copies: DataFrame) -> DataFrame:
     return copies.select(F.explode(ids).alias("id")).filter(F.col("id").isNotNull()).distinct()
 
 
-def posts_of(copies: DataFrame, ids: DataFrame, keywords: list[str], stop_words: list[str], *, extract_retweets: bool = False,
+def references(copies: DataFrame) -> DataFrame:
+    """(target, id, …): each top-level copy once for each post it replies to, quotes or repeats; other columns of `copies` are left out but the interval."""
+    targets = F.array_distinct(F.array("in_reply_to_status_id", "quoted_status_id", "retweeted_status_id"))
+    return copies.filter(~F.col("nested")).select("id", "interval", F.explode(targets).alias("target")).filter(F.col("target").isNotNull())
+
+
+def posts_of(own: DataFrame, referring: DataFrame, ids: DataFrame, keywords: list[str], stop_words: list[str], *, extract_retweets: bool = False,
              extract_quotes: bool = True, dedup: bool = True, count_replies: bool = True) -> DataFrame:
-    """Posts of the given ids with counts over all of `copies`, as one extraction of everything would give them.
+    """Posts of the given ids with their counts, as one extraction of everything would give them.
 
-    Only the narrow columns of `copies` are read to find the posts that refer to the ids.
+    `own` holds all copies of the ids, `referring` all top-level copies of the posts that refer to one of them.
     """
-    winners = distinct_posts(copies.join(ids, "id", "left_semi"))
-    targets = ["in_reply_to_status_id", "quoted_status_id", "retweeted_status_id"]
-    top = copies.filter(~F.col("nested")).select("id", *LINE_ORDER, *targets, "is_retweet")
-    pointing = top.select(F.col("id").alias("source"), F.explode(F.array(*targets)).alias("id")).filter(F.col("id").isNotNull())
-    sources = pointing.join(ids, "id", "left_semi").select(F.col("source").alias("id")).distinct()
-    referring = top.join(sources, "id", "left_semi")
+    winners = distinct_posts(own.join(ids, "id", "left_semi"))
     counts = interaction_counts(distinct_posts(referring) if dedup else referring, count_replies)
     posts = finish_posts(winners, keywords, stop_words, extract_retweets, extract_quotes)
     return with_counts(posts, counts).select(*POST_COLUMNS, *COUNT_COLUMNS)

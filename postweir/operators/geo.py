@@ -13,7 +13,7 @@ from postweir.functions import geo as G
 from postweir.functions import posts as P
 from postweir.operators import shapes
 from postweir.operators.keyed import first_per_key, spread_join
-from postweir.session import scratch_path
+from postweir.session import stage
 
 # Corrections of the country table. Codes by English name, and former or
 # overseas codes with the country that stands in for them.
@@ -83,15 +83,12 @@ def countries_of_points(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
     The first answer is a written table: it is small next to the posts and used twice.
     """
-    spark = points.sparkSession
     edges = polygon_edges(polygons)
     grid = shapes.grid_of(edges)
     if grid is None:
         return _valid(points).distinct().withColumn("iso_a2", F.lit(None).cast("string"))
     cells = shapes.grid_cells(edges, grid)
-    path = scratch_path(spark, "located")
-    shapes.locate(_valid(points).distinct(), cells, grid).write.parquet(path)
-    answered = spark.read.parquet(path)
+    answered = stage(shapes.locate(_valid(points).distinct(), cells, grid), "located")
     open_points = answered.where("iso_a2 IS NULL").select("lon", "lat")
     return answered.where("iso_a2 IS NOT NULL").unionByName(_closest(shapes.nearest_edges(open_points, cells, grid)).drop("distance"))
 
@@ -172,12 +169,9 @@ def geo_cascade(df: DataFrame, polygons: DataFrame, countries: DataFrame, gazett
     The answers, a written table whose size Spark knows, are joined to the posts that ask; it is broadcast if it is small, else those posts alone
     are shuffled. Posts that ask nothing go by a branch of their own and are never shuffled. The input is read three times.
     """
-    spark = df.sparkSession
     key = ["_asks", "_text", "_x", "_y"]
     asked = _questions(df, location if gazetteer is not None else None)
-    staged = scratch_path(spark, "questions")
-    asked.where(F.col("_asks") != _NOTHING).select(*key).distinct().write.parquet(staged)
-    questions = spark.read.parquet(staged)
+    questions = stage(asked.where(F.col("_asks") != _NOTHING).select(*key).distinct(), "questions")
     of = lambda kind: questions.where(F.col("_asks") == kind)
     none = lambda kind: F.lit(None).cast(kind)
     rows = of(_POSITION).select(*key, F.col("_x").alias("lon"), F.col("_y").alias("lat"), F.lit("").alias("country_code")).unionByName(
@@ -186,17 +180,14 @@ def geo_cascade(df: DataFrame, polygons: DataFrame, countries: DataFrame, gazett
         known = gazetteer.select(place_key(F.col("location")).alias("_text"), "lon", "lat", "country_code", F.col("location").alias("_spelling"))
         known = first_per_key(known, ["_text"], ["_spelling", "lon", "lat", "country_code"]).drop("_spelling")
         rows = rows.unionByName(of(_LOCATION).join(known.where("lon IS NOT NULL"), "_text").select(*key, "lon", "lat", "country_code"))
-    placed = scratch_path(spark, "placed")
-    rows.write.parquet(placed)
-    rows = spark.read.parquet(placed)
+    rows = stage(rows, "placed")
     found = countries_of_points(rows.where("country_code = ''").select("lon", "lat"), polygons)
     open_, closed = rows.where("country_code = ''"), rows.where("country_code <> '' OR country_code IS NULL")
     solved = open_.drop("country_code").join(found, ["lon", "lat"], "left").withColumnRenamed("iso_a2", "country_code").unionByName(closed, allowMissingColumns=True)
-    answers = scratch_path(spark, "answers")
-    with_regions(solved, countries).select(
+    answers = stage(with_regions(solved, countries).select(
         *key, *[F.col(c).alias(f"_{c}") for c in ("lon", "lat", "country_code")], "region", "subregion", F.lit(True).alias("_known")
-    ).write.parquet(answers)
-    joined = asked.where(F.col("_asks") != _NOTHING).join(spark.read.parquet(answers), key, "left")
+    ), "answers")
+    joined = asked.where(F.col("_asks") != _NOTHING).join(answers, key, "left")
     located = F.col("_known") & (F.col("_asks") == _LOCATION)
     filled = joined.withColumns({
         "lon": F.when(located, F.col("_lon")).otherwise(F.col("lon")), "lat": F.when(located, F.col("_lat")).otherwise(F.col("lat")),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postweir.operators.keyed import spread_join
-from postweir.session import ensure_checkpoint_dir, scratch_path
+from postweir.session import ensure_checkpoint_dir, stage
 
 #: Characters counted at once in a task; a longer text is counted alone and whole.
 SLICE_CHARS = 1 << 20
@@ -131,9 +131,7 @@ def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str =
         F.coalesce(F.max(F.when(F.col("lang") == lang, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, (lang, _) in enumerate(bases)
     ])
     # as a written table Spark knows its size, and joins it where the texts are if it is small enough
-    staged = scratch_path(df.sparkSession, "profile")
-    weights.write.parquet(staged)
-    weights = df.sparkSession.read.parquet(staged)
+    weights = stage(weights, "profile")
     # a text without trigrams gets a row of its own that asks nothing
     counted = F.coalesce(gram_counts(F.col(text)), F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("times"))))
     grams = df.select(*keys, F.explode(counted).alias("g")).select(*keys, "g.gram", "g.times")

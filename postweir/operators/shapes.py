@@ -1,6 +1,6 @@
 """Polygon edges in a grid, and Arrow kernels that look points up in it.
 
-The grid has at most (GRID + 2) squared cells, whatever the polygons. A cell holds the edges that pass through it and says which polygons contain its lower left
+The grid has at most (GRID + 2) squared cells, fewer for few edges. A cell holds the edges that pass through it and says which polygons contain its lower left
 corner; a cell without edges lies wholly inside those. Points meet only their own cell (containment), or the cells that may hold their nearest edge. Within a cell
 a kernel descends: it quarters the cell and its edges until a point meets at most LEAF of them, the corner's parity being carried along the way.
 
@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postweir.session import scratch_path
+from postweir.session import stage
 
-GRID = 64
+#: Cells along the longer side of the polygons' extent at most, and edges of a cell that are aimed at.
+GRID, CELL_EDGES = 64, 16
 #: Points of a piece, edges a point meets at most where halving can separate them, and halvings of a cell.
 PIECE, LEAF, DEPTH = 4096, 32, 40
 
@@ -49,12 +50,13 @@ class Grid:
 def grid_of(edges: DataFrame) -> Grid | None:
     """The grid of the edges' extent, or None without edges; the size of a cell is a power of two."""
     found = edges.agg(
-        F.min(F.least("x1", "x2")).alias("a"), F.min(F.least("y1", "y2")).alias("b"), F.max(F.greatest("x1", "x2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d")
+        F.min(F.least("x1", "x2")).alias("a"), F.min(F.least("y1", "y2")).alias("b"), F.max(F.greatest("x1", "x2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"), F.count(F.lit(1)).alias("n")
     ).first()
     if found["a"] is None:
         return None
     extent = max(found["c"] - found["a"], found["d"] - found["b"])
-    return Grid(float(2.0 ** np.ceil(np.log2(extent / GRID))) if extent else 1.0, *found)
+    along = min(np.ceil(np.sqrt(found["n"] / CELL_EDGES)), GRID)
+    return Grid(float(2.0 ** np.ceil(np.log2(extent / along))) if extent else 1.0, *[found[c] for c in "abcd"])
 
 
 def _edge() -> dict[str, Column]:
@@ -63,7 +65,7 @@ def _edge() -> dict[str, Column]:
 
 def grid_cells(edges: DataFrame, grid: Grid) -> DataFrame:
     """The cells that hold an edge or lie inside a polygon, from (ord, iso_a2, x1, y1, x2, y2); written below the shared folder and read back."""
-    spark, size = edges.sparkSession, grid.size
+    size = grid.size
     span = lambda a, b: F.sequence(F.floor(F.least(a, b) / size).cast("bigint"), F.floor(F.greatest(a, b) / size).cast("bigint"))
     spread = edges.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -81,10 +83,7 @@ def grid_cells(edges: DataFrame, grid: Grid) -> DataFrame:
     crossed = corners.where(left == (F.col("y2") > F.col("y1"))).groupBy("cx", "cy", "ord", "iso_a2").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
     names = ["cx", "cy", "ord", "iso_a2"]
     both = passing.select(*names, *_edge()).unionByName(crossed.select(*names), allowMissingColumns=True)
-    packed = both.withColumn("ord", F.col("ord").cast("bigint")).repartition("cx", "cy").sortWithinPartitions("cx", "cy").mapInArrow(_pack_cells, _CELL)
-    path = scratch_path(spark, "cells")
-    packed.write.parquet(path)
-    return spark.read.parquet(path)
+    return stage(both.withColumn("ord", F.col("ord").cast("bigint")).repartition("cx", "cy").sortWithinPartitions("cx", "cy").mapInArrow(_pack_cells, _CELL), "cells")
 
 
 def _pack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

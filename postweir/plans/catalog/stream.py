@@ -100,7 +100,7 @@ def extract_incremental(spark: SparkSession, sf: str) -> DataFrame:
     for part in (~late & (F.col("d") < "16"), second, late):
         placed = lines.filter(part).repartition("y", "m", "d", "h").sortWithinPartitions("y", "m", "d", "h", "event_id", "n")
         placed.select("y", "m", "d", "h", "value").write.mode("append").partitionBy("y", "m", "d", "h").text(root)
-        run_extraction(spark, root, out, _KEYWORDS, _STOP, ledger=ledger, start=None)
+        run_extraction(spark, root, out, _KEYWORDS, _STOP, ledger=ledger, start=None, buckets=2)  # an interval holds some hundred lines
     return _shape(post_files.read_posts(spark, out))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "postweir", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -71,6 +71,35 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df` as a written table below the shared root: computed once, of a size that Spark knows, safe from lost executors. The folder stays."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
+def write_record(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = system.create(paths(f"{path}.part"), True)
+    stream.write(text.encode())
+    stream.close()
+    if not system.rename(paths(f"{path}.part"), paths(path)):
+        raise OSError(f"cannot write {path}")
+
+
+def read_record(spark: SparkSession, path: str) -> str | None:
+    """The content of a file of `write_record`, or None without one."""
+    return spark.read.option("wholetext", "true").text(path).first()["value"] if path_exists(spark, path) else None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))

@@ -66,15 +66,13 @@ def _folder_path(path: str, folder: tuple[str | None, int | None], by: str) -> s
     return f"{path}/dt={none if day is None else day}" + (f"/hour={none if hour is None else hour}" if by == "hour" else "")
 
 
-def merge_posts(posts: DataFrame, path: str, by: str = "hour", ids: DataFrame | None = None) -> int:
-    """Put posts into a written table in the place of the stored posts of `ids` (id; by default those of the new posts).
+def stage_merge(posts: DataFrame, path: str, staged: str, merged: str, by: str = "hour", ids: DataFrame | None = None) -> list[str]:
+    """Write the whole content of the folders that `merge_posts` is to replace to `merged`; returns the folders that it leaves empty. Nothing is changed yet.
 
-    The folders that hold such posts or receive new ones are found first, from the ids alone, and become literal conditions on the partition
-    columns; only they are read and replaced. Posts without a time have a folder of their own. The merged
-    rows are staged because a table cannot be read and replaced at once. A folder that is left empty is removed.
+    The folders that hold posts of `ids` or receive new ones are found first, from the ids alone, and become literal conditions on the partition
+    columns; only they are read. Posts without a time have a folder of their own.
     """
     spark = posts.sparkSession
-    staged, merged = scratch_path(spark, "new-posts"), scratch_path(spark, "merged-posts")
     posts.withColumns(interval_columns(by)).write.parquet(staged)
     new = spark.read.parquet(staged)
     parts = list(interval_columns(by))
@@ -84,11 +82,26 @@ def merge_posts(posts: DataFrame, path: str, by: str = "hour", ids: DataFrame |
     folders = before | _folders(new, by)
     kept = stored.filter(_in_folders(folders, by)).join(gone, "id", "left_anti")
     new.unionByName(kept.select(new.columns)).write.parquet(merged)
-    rows = spark.read.parquet(merged)
-    left = _folders(rows, by)
-    written = write_posts(rows.drop(*parts), path, by=by, dynamic=True)
-    for folder in before - left:
-        remove_path(spark, _folder_path(path, folder, by))
+    return [_folder_path(path, folder, by) for folder in sorted(before - _folders(spark.read.parquet(merged), by), key=str)]
+
+
+def apply_merge(spark: SparkSession, merged: str, path: str, emptied: list[str], by: str = "hour") -> int:
+    """Replace the folders by their merged content. Done again after a failure, it gives the same table."""
+    written = write_posts(spark.read.parquet(merged).drop(*interval_columns(by)), path, by=by, dynamic=True)
+    for folder in emptied:
+        remove_path(spark, folder)
+    return written
+
+
+def merge_posts(posts: DataFrame, path: str, by: str = "hour", ids: DataFrame | None = None) -> int:
+    """Put posts into a written table in the place of the stored posts of `ids` (id; by default those of the new posts).
+
+    Only the folders concerned are read and replaced. The merged rows are staged because a table cannot be read and replaced at once. A folder that is left empty is removed.
+    """
+    spark = posts.sparkSession
+    staged, merged = scratch_path(spark, "new-posts"), scratch_path(spark, "merged-posts")
+    emptied = stage_merge(posts, path, staged, merged, by, ids)
+    written = apply_merge(spark, merged, path, emptied, by)
     for scratch in (staged, merged):
         remove_path(spark, scratch)
     return written

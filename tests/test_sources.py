@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import json
 import random
+import shutil
 import time
 from collections import Counter
 from datetime import datetime
@@ -292,3 +293,75 @@ def test_annotation_study(spark, tmp_path):
     keyed = annotated.select("username", F.col("bio").alias("text"), F.col("type1").alias("label"), F.lit("Institution").alias("prediction"))
     effects = annotation_study.language_effects(keyed, langs, ["username"])
     assert effects.agg(F.sum("trials")).first()[0] <= n
+
+
+class Cut(Exception):
+    """A run that ends in the middle."""
+
+
+def test_a_run_that_is_cut_off_is_completed_or_forgotten(spark, tmp_path, monkeypatch):
+    """A run is ended after each of its writes in turn; the next one gives what one run over everything gives, and leaves nothing behind."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    first = {"07/10": [at("1", "Thu May 07 10:00:00"), at("2", "Thu May 07 10:30:00", in_reply_to_status_id_str="1"), "nonsense"], "07/11": [at("3", "Thu May 07 11:00:00", in_reply_to_status_id_str="1")]}
+    second = {"07/10": [at("1", "Thu May 07 10:00:00"), "more nonsense"], "07/12": [at("4", "Thu May 07 12:00:00", in_reply_to_status_id_str="1"), at("1", "Thu May 07 10:00:00")]}
+    write, left = DataFrameWriter.parquet, [None]
+
+    def parquet(self, *args, **kwargs):
+        write(self, *args, **kwargs)
+        if left[0] is not None:
+            left[0] -= 1
+            if left[0] <= 0:
+                raise Cut
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+
+    def run(name, ledger=True):
+        more = {"ledger": str(tmp_path / name / "ledger")} if ledger else {}
+        return extract_stream.run_extraction(spark, str(tmp_path / "raw"), str(tmp_path / name / "out"), ["text"], [], bad_lines=str(tmp_path / name / "bad"), buckets=2, **more)
+
+    def content(name):
+        posts = post_files.read_posts(spark, str(tmp_path / name / "out"), ["id", "text", "created_at", *COUNTS]).collect()
+        return sorted(map(tuple, posts)), sorted(r["value"] for r in spark.read.parquet(str(tmp_path / name / "bad")).collect())
+
+    for hour, lines in first.items():
+        put(tmp_path / "raw", hour, "a", lines)
+    run("base")
+    shutil.copytree(tmp_path / "base", tmp_path / "spare")
+    for hour, lines in second.items():
+        put(tmp_path / "raw", hour, "a" if hour == "07/12" else "b", lines)
+    (tmp_path / "raw/2020/05/07/10/a").unlink()
+    run("whole", ledger=False)
+    want, n = content("whole"), 0
+    while True:
+        n += 1
+        name = f"cut{n}"
+        shutil.copytree(tmp_path / "spare", tmp_path / name)
+        left[0] = n
+        try:
+            run(name)
+            ended = True
+        except Cut:
+            ended = False
+        left[0] = None
+        run(name)
+        assert content(name) == want, n
+        assert sorted(p.name for p in (tmp_path / name).iterdir()) == ["bad", "ledger", "out", "out-copies"]
+        if ended:
+            break
+    assert n > 10 and run(name) == extract_stream.Extraction(0, 0)
+
+
+def test_a_later_run_reads_the_buckets_it_touches(spark, tmp_path):
+    """Of the stored copies and references, only the folders of the buckets of touched posts, and none of the pending intervals."""
+    put(tmp_path / "raw", "07/10", "a", [at(str(i), "Thu May 07 10:00:00", in_reply_to_status_id_str=str(i + 1)) for i in range(400)])
+    put(tmp_path / "raw", "07/11", "a", [at(str(i), "Thu May 07 11:00:00", in_reply_to_status_id_str=str(i - 1)) for i in range(400, 600)])
+    extract_stream.run_extraction(spark, str(tmp_path / "raw"), str(tmp_path / "out"), ["text"], [], ledger=str(tmp_path / "ledger"))
+    store = extract_stream.Store(spark, str(tmp_path / "out"), extract_stream.BUCKETS)
+    ids = spark.createDataFrame([("7",), ("450",), ("450",)], "id string")
+    assert [store.copies(ids, x).count() for x in ([], ["2020_05_07_11"])] == [2, 1] and store.references(ids, []).count() == 2
+    for path in (store.copies_path, store.references_path):
+        opened = store._of(path, ids, []).select(F.input_file_name()).distinct().count()
+        assert 0 < opened <= len(spark.read.parquet(path).inputFiles()) / 10
+    plan = store.copies(ids, ["2020_05_07_11"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
