@@ -6,13 +6,14 @@ of their elements, largest first, then by a hash. As similar sets differ in no m
 the most elements in which a partner can differ, hold a common one: their signature. Sets at the edge of a band take part in the next one too.
 
 Sets that share a signature are candidates. The parity of the number of elements in each cell of a bitmap bounds the difference from below and rules
-out most of them; the others are compared exactly. First only a forest of candidates is compared, then those that this left unconnected.
+out most of them; the others are compared exactly. First only a forest of candidates is compared, then, inside the tasks, the sets of
+each signature that this left apart; only proven links leave a task, fewer than there are sets.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,11 +116,12 @@ def set_code(elements: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _signed(docs: DataFrame, round_: int) -> DataFrame:
-    """(doc_id, n, code, short, signatures, bitmap). Of equal sets in a task only the first has signatures."""
+    """(doc_id, text_hash, n, code, short, signatures, bitmap). Of equal sets in a task only the first has signatures."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -138,11 +140,11 @@ def _signed(docs: DataFrame, round_: int) -> DataFrame:
                 cuts = pa.array(np.cumsum([0, *map(len, out[3])]).astype(np.int32))
                 flat = pa.array(np.concatenate([np.zeros(0, np.int64), *out[3]]))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, j - i), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
+                    batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()),
                     pa.ListArray.from_arrays(cuts, flat), pa.array(out[4], pa.binary()),
-                ], ["doc_id", "n", "code", "short", "signatures", "bitmap"])
+                ], ["doc_id", "text_hash", "n", "code", "short", "signatures", "bitmap"])
 
-    return _texts(docs).mapInArrow(sign, "doc_id long, n long, code long, short boolean, signatures array<long>, bitmap binary")
+    return _texts(docs).mapInArrow(sign, "doc_id long, text_hash long, n long, code long, short boolean, signatures array<long>, bitmap binary")
 
 
 class _Member:
@@ -182,53 +184,107 @@ def _forest(members: list[_Member]) -> list[tuple[int, int]]:
     return found
 
 
-def _unlike(members: list[_Member]) -> list[tuple[int, int]]:
-    """All pairs of different labels, and of different blocks if there are two, that may match."""
-    two = len({m.block for m in members}) > 1
-    return [
-        (x.code, y.code) for i, x in enumerate(members) for y in members[i + 1 :]
-        if x.label != y.label and (not two or x.block != y.block) and x.may_match(y)
-    ]
+def _askers(members: list[_Member]) -> list[tuple[int, int, int]]:
+    """(code, label, block) of the sets that may match one of another label, and of the other block if there are two."""
+    two, found = len({m.block for m in members}) > 1, set()
+    for i, x in enumerate(members):
+        for y in members[i + 1 :]:
+            if x.label != y.label and (not two or x.block != y.block) and not (x.code in found and y.code in found) and x.may_match(y):
+                found |= {x.code, y.code}
+    return [(m.code, m.label, m.block) for m in members if m.code in found]
 
 
-def _candidates(members: DataFrame, maps: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(a, b) with a < b: candidate pairs of sets that share a signature, where the bitmaps in `maps` (code, n, bitmap) allow it.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Add (block, i, j): a signature of many sets is dealt into blocks; block b meets each block c in the task (min, max)."""
+    sizes = members.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "signature").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    return rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "c"), "j": F.greatest("block", "c")}).drop("c", "blocks")
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], members_of: Callable, results_of: Callable) -> Iterator[list]:
+    """Results of each (signature, i, j), whose rows come together."""
+    key, members = None, []
+    for batch in batches:
+        found: list = []
+        for signature, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (signature, i, j):
+                found += [(key, r) for r in results_of(members)]
+                key, members = (signature, i, j), []
+            members.append(members_of(*rest))
+        yield found
+    yield [(key, r) for r in results_of(members)]
 
-    Without labels, only a forest in each signature: each set is paired with the first one it may be similar to. With labels, all possible pairs of
-    differently labelled sets. A signature of many sets is dealt into blocks, and its pairs of blocks over tasks.
-    """
-    rows = members
-    if labels is not None:
-        rows = rows.join(labels, "code", "left").withColumn("label", F.coalesce("label", "code"))
-        mixed = rows.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("signature")
-        rows = rows.join(mixed, "signature", "left_semi")
-    else:
-        rows = rows.withColumn("label", F.col("code"))
-    sizes = rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "signature").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-    if labels is None:
-        rows = rows.withColumns({"i": F.col("block"), "j": F.col("block")})
-    else:  # block b meets each block c in the task (min, max)
-        rows = rows.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "c"), "j": F.greatest("block", "c")})
-    pairs_of = _forest if labels is None else _unlike
 
+_KEYS = ["signature", "i", "j"]
+
+
+def _forest_candidates(members: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b) with a < b: in each signature (of each block, if it has many sets) a forest of candidates by the bitmaps in `maps` (code, n, bitmap)."""
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members = None, []
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for signature, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (signature, i, j):
-                    found += pairs_of(members)
-                    key, members = (signature, i, j), []
-                members.append(_Member(*rest))
-            yield _pairs(found)
-        yield _pairs(pairs_of(members))
-
-    keys = ["signature", "i", "j"]
-    dealt = rows.join(maps, "code").select(*keys, "code", "n", "label", "block", "bitmap").repartition(*keys).sortWithinPartitions(*keys, "code")
+        for found in _by_key(batches, _Member, _forest):
+            yield _pairs([r for _, r in found])
+
+    rows = _dealt(members).where("i = j").withColumn("label", F.col("code"))
+    dealt = rows.join(maps, "code").select(*_KEYS, "code", "n", "label", "block", "bitmap").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "code")
     return dealt.mapInArrow(pair, "a long, b long").distinct()
 
 
+def _open_members(members: DataFrame, maps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(signature, i, j, code, label, block): the sets of each signature that may be linked with one of another label, as far as the bitmaps tell.
+
+    A set is one row for each pair of blocks, however many it may match. Callers keep one of several signatures that leave the same sets.
+    """
+    rows = members.join(labels, "code", "left").withColumn("label", F.coalesce("label", "code"))
+    mixed = rows.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("signature")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _by_key(batches, _Member, _askers):
+            columns = [*zip(*[(*key, *r) for key, r in found], strict=True)] or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _OPEN.types, strict=True)], _OPEN.names)
+
+    dealt = _dealt(rows.join(mixed, "signature", "left_semi")).join(maps, "code").select(*_KEYS, "code", "n", "label", "block", "bitmap")
+    return dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "code").mapInArrow(ask, "signature long, i int, j int, code long, label long, block int")
+
+
+_OPEN = pa.schema([("signature", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("code", pa.int64()), ("label", pa.int64()), ("block", pa.int32())])
+
+
+def _proven(members: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """A forest of true links over the labels of the sets (code, label, block, elements): fewer links than sets, but every set that is similar to another is connected with it."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    two, found = len({m[2] for m in members}) > 1, []
+    for at, (a, label, block, x) in enumerate(members):
+        for b, other, where, y in members[at + 1 :]:
+            if (two and block == where) or 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)) or root(label) == root(other):
+                continue
+            if _alike(x, y):
+                parent[root(label)] = root(other)
+                found.append((min(a, b), max(a, b)))
+    return found
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _proven_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): true links between the open sets of each signature, at most one fewer than it has rows. The elements come to the task once for each row; nothing but links leaves it."""
+    def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _by_key(batches, lambda code, label, block, elements: (code, label, block, np.array(elements, np.int64)), _proven):
+            yield _pairs([r for _, r in found])
+
+    rows = open_.join(sets, "code").select(*_KEYS, "code", "label", "block", "elements").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "code")
+    return rows.mapInArrow(prove, "a long, b long").distinct()
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -240,9 +296,7 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = (batch.column(i) for i in (2, 3))
             good = []
             for x, y in zip(a, b, strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(_alike(x.values.to_numpy(), y.values.to_numpy()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = sets.select(F.col("code").alias("a"), F.col("elements").alias("x"))
@@ -298,7 +352,7 @@ def release(spark: SparkSession) -> None:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id) of each row.
+    """(doc_id, text_hash, n_shingles, n_links, component_id) of each row; text_hash, the xxhash64 of the text (null: empty), tells rows that share an id apart.
 
     The set of a row is that of the distinct 5-word shingles of its whole text, in lower case (A-Z); texts of fewer words have their whole sequence as
     one, those without words an empty set that is linked with nothing. Rows link when the intersection is at least 75 % of the union. component_id
@@ -330,11 +384,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = spark.read.parquet(f"{root}/groups")
     maps = signed.where(F.length("bitmap") > 0).groupBy("code").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap"))
 
-    _candidates(groups, maps, None).write.parquet(f"{root}/forest")
+    _forest_candidates(groups, maps).write.parquet(f"{root}/forest")
     release(spark)
     forest = spark.read.parquet(f"{root}/forest")
     least = signed.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("doc_id"))
-    paired = forest.select(F.col("a").alias("code")).unionByName(forest.select(F.col("b").alias("code"))).distinct()
+    # blocks of one signature meet in the second round only, so all of its sets may be asked for there
+    several = groups.groupBy("signature").count().where(F.col("count") > BLOCK).select("signature")
+    paired = forest.select(F.col("a").alias("code")).unionByName(forest.select(F.col("b").alias("code"))).unionByName(groups.join(several, "signature", "left_semi").select("code")).distinct()
     least.join(paired, "code", "left_semi").write.parquet(f"{root}/wanted")
     _elements(docs, spark.read.parquet(f"{root}/wanted")).write.parquet(f"{root}/elements")
     release(spark)
@@ -342,9 +398,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _similar(forest, sets).write.parquet(f"{root}/links0")
     release(spark)
     labels = connect(spark.read.parquet(f"{root}/links0"), f"{root}/connect0")
-    _candidates(groups, maps, labels).join(forest, ["a", "b"], "left_anti").write.parquet(f"{root}/rest")
+    _open_members(groups, maps, labels).write.parquet(f"{root}/open")
     release(spark)
-    _similar(spark.read.parquet(f"{root}/rest"), sets).write.parquet(f"{root}/links1")
+    asked = spark.read.parquet(f"{root}/open")
+    alike = asked.groupBy(*_KEYS).agg(F.sum(F.xxhash64("code", "block").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    alike = alike.groupBy("sum", "n").agg(F.min(F.struct(*_KEYS)).alias("key")).select("key.*")
+    _proven_links(asked.join(alike, _KEYS, "left_semi"), sets).write.parquet(f"{root}/links1")
     remove_path(spark, f"{root}/elements")
     release(spark)
     links = spark.read.parquet(f"{root}/links0", f"{root}/links1")
@@ -354,9 +413,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = labels.join(least, "code").groupBy("label").agg(F.min("doc_id").alias("component"))
     linked = labels.join(component, "label").join(degree, "code", "left").select("code", "component", "n_links")
     known = least.withColumnRenamed("doc_id", "own").join(linked, "code", "left")
-    rows = signed.select("doc_id", "n", "code").join(known, "code", "left")
+    rows = signed.select("doc_id", "text_hash", "n", "code").join(known, "code", "left")
     rows.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "own")).alias("component_id"),
     ).write.parquet(result := scratch_path(spark, "components"))
     remove_path(spark, root)

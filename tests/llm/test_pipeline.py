@@ -89,6 +89,10 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
     kept = corpus_pipeline.drop_near_copies(spark, docs, cases.SF).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in kept) == [(0, 3), (0, 4), (1, 1)]
+    rows = [(1, "a b c d e f", "x"), (3, "a b c d e f", "x"), (3, "g h i j k l m", "x"), (5, "g h i j k l m", "y"), (7, "", "x"), (7, "", "y"), (7, "n o p q r s", "x"), (7, "n o p q r s", "y"), (7, "N o p q r s", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _stays string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.withColumnRenamed("_stays", "label"), cases.SF).collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, "a b c d e f"), (3, "g h i j k l m"), (7, ""), (7, ""), (7, "n o p q r s")]
     empty = cases.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, cases.SF).count() == 0
@@ -96,4 +100,4 @@ def test_repeated_rows_and_empty_tables(spark):
 
 def test_entry_has_the_queries():
     names = contract.queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
