@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweir.llm import leaks, packing, partenum, pii, toxicity
@@ -25,17 +25,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are linked by near similarity, the one with the least id; of repeated rows, one."""
+    """Of each group of documents that are linked by near similarity, the one with the least id; of rows of that id in the group, one.
+
+    Rows that share an id but are in other groups are documents of their own, and so are those without words or without an id.
+    """
     ship_package(spark)
-    found = partenum.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id")
-    # a merge join whatever the size, as the ids grow with the texts
-    copies = found.where("component_id <> doc_id").select("doc_id").hint("merge")
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    found = partenum.near_duplicates(docs).where("doc_id IS NOT NULL AND n_shingles > 0")
+    # of the rows with the group's least id, those of the least text hash stay; all are in the same task as their id is the group's name
+    least = F.min(F.when(F.col("doc_id") == F.col("component_id"), F.col("text_hash"))).over(Window.partitionBy("doc_id", "component_id"))
+    marked = found.withColumn("_stays", F.coalesce(F.col("text_hash") == least, F.lit(False)))
+    per_text = marked.groupBy("doc_id", "text_hash").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
+    changed = per_text.where("NOT _stays OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_stays")
+    # a merge join whatever the size, as the ids grow with the texts; the window then needs no shuffle of its own
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = keyed.join(changed.hint("merge"), ["_id", "_hash"], "left")
+    place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    kept = joined.withColumn("_place", place).where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_place") == 1)))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
