@@ -202,11 +202,12 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], members_of: Callable, results_of: Callable) -> Iterator[list]:
-    """Results of each (signature, i, j), whose rows come together."""
+    """Results of each (signature, i, j), whose rows come together. Elements stay views of the batch: as Python numbers they would take some ten times the room."""
     key, members = None, []
     for batch in batches:
         found: list = []
-        for signature, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        columns = [(x.values.to_numpy() for x in c) if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for signature, i, j, *rest in zip(*columns, strict=True):
             if key != (signature, i, j):
                 found += [(key, r) for r in results_of(members)]
                 key, members = (signature, i, j), []
@@ -278,7 +279,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 def _proven_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): true links between the open sets of each signature, at most one fewer than it has rows. The elements come to the task once for each row; nothing but links leaves it."""
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _by_key(batches, lambda code, label, block, elements: (code, label, block, np.array(elements, np.int64)), _proven):
+        for found in _by_key(batches, lambda *member: member, _proven):
             yield _pairs([r for _, r in found])
 
     rows = open_.join(sets, "code").select(*_KEYS, "code", "label", "block", "elements").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "code")
