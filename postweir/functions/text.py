@@ -1,7 +1,7 @@
 """Text columns: normalising, masking, token counts and keyword tags.
 
-Everything runs inside the JVM except HTML entities, NFKC and emoji spans, for which Spark has
-no built-in. Those go through Arrow functions that receive NULL for rows they would not
+Everything runs inside the JVM except keyword tags, HTML entities, NFKC and emoji spans, for which Spark has
+no built-in. The last three go through Arrow functions that receive NULL for rows they would not
 change, so only the affected texts cross to Python.
 """
 
@@ -11,9 +11,12 @@ import html
 import json
 import re
 import unicodedata
+from functools import lru_cache
 from html.parser import HTMLParser
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,26 +78,36 @@ def token_count(c: Column, stop_words: list[str]) -> Column:
     return F.size(kept).cast("bigint")
 
 
-def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = False, gate: int = 3) -> Column:
-    """Positions (ascending) of the keywords that occur in the text as substrings.
+@lru_cache(maxsize=8)
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One automaton for all words, each with its positions in the list; built once in a Python worker."""
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(words):
+        if word:
+            places.setdefault(word, []).append(i)
+    found = ahocorasick.Automaton()
+    for word, at in places.items():
+        found.add_word(word, tuple(at))
+    found.make_automaton()
+    return found
+
+
+def match_keywords(c: Column, keywords: list[str], case_insensitive: bool = False) -> Column:
+    """Positions (ascending) of the keywords that occur in the text as substrings; none for NULL.
 
     Keywords are lower-cased, the text is not, unless `case_insensitive`. A keyword that is
-    listed twice is reported twice, an empty one never. Keywords are grouped by their first `gate` characters; a group whose
-    beginning is nowhere in the text is passed over.
+    listed twice is reported twice, an empty one never. All keywords are looked for in one pass over the text, by an automaton of them.
     """
-    text = F.lower(c) if case_insensitive else c
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for i, word in enumerate(k.lower() for k in keywords):
-        if word:
-            groups.setdefault(word[:gate], []).append((i, word))
-    if not groups:
+    words = tuple(k.lower() for k in keywords)
+    if not any(words):
         return F.array().cast("array<int>")
-    table = F.array(*[
-        F.struct(F.lit(start).alias("start"), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in members]).alias("members"))
-        for start, members in groups.items()
-    ])
-    near = F.flatten(F.transform(F.filter(table, lambda g: F.contains(text, g["start"])), lambda g: g["members"]))
-    return F.array_sort(F.transform(F.filter(near, lambda m: F.contains(text, m["k"])), lambda m: m["i"]))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def matched(texts: pa.Array) -> pa.Array:
+        search = _automaton(words).iter
+        return pa.array([sorted({i for at in {at for _, at in search(text)} for i in at}) if text else [] for text in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return matched(F.lower(c) if case_insensitive else c)
 
 
 class _EmojiText(HTMLParser):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,10 +170,23 @@ def train_dev_test(df: DataFrame, keys: list[str], seed: int = 42) -> DataFrame:
 def positional_split(
     df: DataFrame, order: list[str], train_share: float = 0.8, max_dev: int = 200_000
 ) -> DataFrame:
-    """Column `split` along the order: the last rows are dev, at most `max_dev` of them."""
-    indexed = with_row_index(df, order)
-    total = indexed.select(F.count(F.lit(1)).alias("n"))
-    n_train = total.select(
-        F.greatest(F.floor(F.lit(train_share) * F.col("n")), F.col("n") - max_dev).alias("k")
-    ).scalar()
-    return indexed.withColumn("split", F.when(F.col("row_index") < n_train, "train").otherwise("dev"))
+    """Column `split` along the order, which must identify a row: the last rows are dev, at most `max_dev` of them.
+
+    The first dev row is selected, the table is not sorted: the order columns alone are dealt into ranges, each range is counted, and only
+    the one that holds the cut is ranked. Rows are then compared with the cut where they are. `df` is read twice.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    names = [f"k{i}" for i in range(len(order))]
+    keys = df.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+    ranges = keys.repartitionByRange(*names).checkpoint()
+    sizes = {r["part"]: r["count"] for r in ranges.groupBy(F.spark_partition_id().alias("part")).count().collect()}  # one row per partition
+    total = sum(sizes.values())
+    n_train, before = max(math.floor(train_share * total), total - max_dev), 0
+    for part in sorted(sizes):
+        if before + sizes[part] > n_train:
+            cut = ranges.filter(F.spark_partition_id() == part).orderBy(*names).offset(n_train - before).first()
+            first = F.struct(*[F.lit(cut[n]).cast(keys.schema[n].dataType).alias(n) for n in names])
+            here = F.struct(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)])
+            return df.withColumn("split", F.when(here < first, "train").otherwise("dev"))
+        before += sizes[part]
+    return df.withColumn("split", F.lit("train"))

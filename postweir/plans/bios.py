@@ -9,7 +9,7 @@ from postweir.operators import corpus, language
 from postweir.operators.keyed import positional_split, sample_n
 from postweir.operators.predictions import merge_predictions
 from postweir.operators.totals import RowTotals
-from postweir.session import ship_package
+from postweir.session import ship_package, stage
 from postweir.sources.shards import MAX_ROWS, read_shards, write_sharded
 
 
@@ -26,9 +26,9 @@ def write_pretrain_corpus(sources: list[DataFrame], annotated: DataFrame, out: s
                           language: str | None = None, max_rows: int = MAX_ROWS) -> None:
     """`out`/train and `out`/dev, cut along (source, order…); the order must identify a row of a source."""
     ship_package(sources[0].sparkSession)
-    split = positional_split(corpus.pretrain_corpus(sources, annotated, order, language=language), ["source", *order])
+    rows = stage(corpus.pretrain_corpus(sources, annotated, order, language=language), "corpus")
+    split = positional_split(rows, ["source", *order])
     for part in ("train", "dev"):
-        # the numbered rows are already in order, partition by partition
         rows = split.filter(F.col("split") == part).select("user_id", "user_description")
         write_sharded(rows, f"{out}/{part}", "user_description", max_rows)
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweir.operators import corpus, language, predictions
-from postweir.operators.keyed import positional_split
+from postweir.operators.keyed import positional_split, with_row_index
 from postweir.operators.totals import RowTotals
 from postweir.plans import adapters as A
 from postweir.plans.catalog.text import sql_normalize
-from postweir.session import scratch_path
+from postweir.session import scratch_path, stage
 
 
 def _annotated(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,8 +25,9 @@ def _pretrain(spark: SparkSession, sf: str, language: str | None) -> DataFrame:
 
 
 def bio_corpus_pretrain(spark: SparkSession, sf: str) -> DataFrame:
-    split = positional_split(_pretrain(spark, sf, None), ["source", "user_id", "seq"])
-    return split.select("user_id", "source", F.md5("user_description").alias("digest"), "row_index", "split")
+    order = ["source", "user_id", "seq"]
+    rows = stage(_pretrain(spark, sf, None).select(*order, F.md5("user_description").alias("digest")), "corpus")
+    return with_row_index(positional_split(rows, order), order).select("user_id", "source", "digest", "row_index", "split")
 
 
 def bio_corpus_english(spark: SparkSession, sf: str) -> DataFrame:

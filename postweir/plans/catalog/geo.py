@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,20 @@ def point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
     return points.join(inside, ["lon", "lat"]).select("c_custkey", "iso_a2")
 
 
+def point_in_dense_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    """One island around the origin with a vertex for each event, as far out as the event's value says."""
+    events = A.table(spark, sf, "events").select(F.col("event_id").alias("i"), (20 + F.pmod(F.col("value"), F.lit(10.0))).alias("r"))
+    found = events.agg(F.min("i").alias("low"), F.count(F.lit(1)).alias("n")).first()
+    low, n = found["low"], found["n"]
+    angle = (F.col("i") - low) * (2 * math.pi / n)
+    vertices = events.select("i", (F.col("r") * F.cos(angle)).alias("x"), (F.col("r") * F.sin(angle)).alias("y"))
+    ends = vertices.select(F.when(F.col("i") == low, low + n - 1).otherwise(F.col("i") - 1).alias("i"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    edges = vertices.join(ends, "i").select(F.lit(0).alias("ord"), F.lit("IS").alias("iso_a2"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+    points = A.points(spark, sf)
+    inside = geo.countries_containing(points.select("lon", "lat").distinct(), edges)
+    return points.join(inside, ["lon", "lat"]).select("c_custkey", "iso_a2")
+
+
 def nearest_polygon(spark: SparkSession, sf: str) -> DataFrame:
     points = A.points(spark, sf)
     near = geo.nearest_countries(points.select("lon", "lat").distinct(), geo.polygon_edges(A.shapes(spark, sf)))
@@ -85,6 +101,7 @@ QUERIES = {
     "patch_countries": patch_countries,
     "region_lookup": region_lookup,
     "point_in_polygon": point_in_polygon,
+    "point_in_dense_polygon": point_in_dense_polygon,
     "nearest_polygon": nearest_polygon,
     "centroid": centroid,
     "geo_cascade": geo_cascade,
@@ -135,6 +152,15 @@ SELECT c_custkey, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'XX' ELSE {_CODE} EN
        CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN r_name || '/' || n_name END AS subregion
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "point_in_polygon": f"WITH {_GEO} SELECT * FROM inside",
+    "point_in_dense_polygon": f"""
+WITH {_GEO},
+v AS (
+  SELECT i, n, r * cos(i * 2 * pi() / n) AS x, r * sin(i * 2 * pi() / n) AS y
+  FROM (SELECT event_id - min(event_id) OVER () AS i, count(*) OVER () AS n, 20 + value - 10 * floor(value / 10) AS r FROM events)),
+p AS (SELECT c_custkey, lon, lat, (atan2(lat, lon) + CASE WHEN lat < 0 THEN 2 * pi() ELSE 0 END) / (2 * pi()) AS turn FROM points)
+SELECT c_custkey, 'IS' AS iso_a2
+FROM p JOIN v a ON a.i = CAST(floor(turn * a.n) AS BIGINT) % a.n JOIN v b ON b.i = (a.i + 1) % a.n
+WHERE (b.x - a.x) * (lat - a.y) - (b.y - a.y) * (lon - a.x) > 0""",
     "nearest_polygon": f"WITH {_GEO} SELECT c_custkey, iso_a2, round(distance, 6) AS distance FROM nearest",
     "centroid": """
 SELECT printf('C%02d', n_nationkey) AS iso_a2,

@@ -181,15 +181,9 @@ def retweet_user_dump(spark: SparkSession, sf: str) -> DataFrame:
     have = {"user_id": F.col("user_id"), "user_name": F.col("c_name"), "user_location": place}
     user = F.struct(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in USER_COLUMNS])
     users = rows.join(customers, F.col("user_id") == F.col("c_custkey").cast("string"))
-    return retweeters.to_json_lines(retweeters.grouped_users(users, user, parts=8))
-
-
-def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream over several files; one trigger takes all, since the files are not ordered in time."""
-    path = scratch_path(spark, "edges")
-    events = A.posts(spark, sf)
-    events.write.option("maxRecordsPerFile", 4000).parquet(path)
-    return spark.readStream.schema(events.schema).parquet(path)
+    path = scratch_path(spark, "dump")
+    retweeters.write_grouped_json(retweeters.dump_pieces(users, user), path)
+    return retweeters.read_grouped_json(spark, path)
 
 
 def _run(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -221,12 +215,25 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return _run(spark, ingest.dedup_stream(posts).select("id", "user_id"), "distinct")
 
 
+def stream_winners(spark: SparkSession, sf: str) -> DataFrame:
+    """Top-level and nested copies in several triggers; nested ones often come before the post itself."""
+    good, _ = raw.parse_lines(ingest.stream_raw(spark, _capture(spark, sf), max_files=20))
+    copies = extraction.post_copies(good).select("id", "user_id", "created_at", *extraction.LINE_ORDER)
+    out = scratch_path(spark, "winners")
+    ingest.write_winners(ingest.winning_copies(copies, delay="40 days"), out, f"{out}-checkpoint").awaitTermination()
+    return ingest.read_winners(spark, out).select("id", "user_id", "nested")
+
+
 def stream_hourly_counts(spark: SparkSession, sf: str) -> DataFrame:
     target = F.coalesce("retweeted_status_id", "quoted_status_id", "in_reply_to_status_id")
-    edges = _event_stream(spark, sf).select("created_at", target.alias("target")).filter(F.col("target").isNotNull())
-    counts = _run(spark, ingest.hourly_counts(edges), "hourly")
-    stored = A.posts(spark, sf).select("created_at", target.alias("target")).filter(F.col("target").isNotNull())
-    counts = counts.unionByName(ingest.open_hours(stored, counts))  # the run has ended: the hours it held back
+    # files hold days in any order, some a trigger: most edges come weeks behind the latest time seen
+    path = scratch_path(spark, "edges")
+    events = A.posts(spark, sf).select("created_at", target.alias("target")).filter(F.col("target").isNotNull())
+    events.repartition(12, F.xxhash64("created_at")).write.parquet(path)
+    edges = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    out = scratch_path(spark, "hourly")
+    ingest.count_hours(edges, out, f"{out}-checkpoint").awaitTermination()
+    counts = ingest.hour_totals(spark, out)
     return counts.select(F.date_format("hour_start", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "target", "n")
 
 
@@ -247,6 +254,7 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_table": stream_table,
     "stream_dedup": stream_dedup,
+    "stream_winners": stream_winners,
     "stream_hourly_counts": stream_hourly_counts,
 }
 
@@ -339,13 +347,12 @@ WITH r AS (
   FROM events, LATERAL (SELECT unnest(range(1, CASE WHEN {_K} = 0 THEN 601 ELSE 2 END)) AS n)
   WHERE event_type = 'view' AND {_K} % 2 = 0),
 p AS (
-  SELECT *, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % 8 AS part,
-         '{{"user_id":"' || uid || '","user_screen_name":null,"user_name":"' || c_name || '","user_description":null,"user_timezone":null,"user_location":'
+  SELECT *, '{{"user_id":"' || uid || '","user_screen_name":null,"user_name":"' || c_name || '","user_description":null,"user_timezone":null,"user_location":'
          || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null' ELSE '"' || c_mktsegment || '"' END
          || ',"user_num_followers":null,"user_num_following":null,"user_created_at":null,"user_statuses_count":null,"user_is_verified":null}}' AS u
   FROM r JOIN customer ON user_id = c_custkey)
-SELECT '{{"id":"' || t || '","part":' || part || ',"parts":8,"users":[' || string_agg(u, ',' ORDER BY uid, id) || ']}}' AS value
-FROM p GROUP BY t, part""",
+SELECT '{{"' || t || '":[' || string_agg(u, ' ,' ORDER BY uid, id) || ']}}' AS value
+FROM p GROUP BY t""",
     "stream_ingest": f"""
 WITH {_EV}, {_LINES}
 SELECT id, uid AS user_id, et = 'view' AS is_retweet, CASE WHEN et = 'view' THEN nid END AS retweeted_status_id FROM lines""",
@@ -358,6 +365,11 @@ SELECT id, CASE WHEN et = 'error' THEN 'full text of ' || id ELSE 'Event & ' ||
        strftime(ts, '%Y-%m-%d') AS day, CAST(hour(ts) AS BIGINT) AS hour
 FROM lines WHERE et <> 'view'""",
     "stream_dedup": f"WITH {_EV} SELECT id, uid AS user_id FROM ev",
+    "stream_winners": f"""
+WITH {_EV}
+SELECT id, uid AS user_id, false AS nested FROM ev
+UNION ALL
+SELECT DISTINCT nid, '9' || k, true FROM ev WHERE et IN ('view', 'purchase') AND nid NOT IN (SELECT id FROM ev)""",
     "stream_hourly_counts": """
 WITH e AS (SELECT ts, props->>'$.k' AS target FROM events WHERE event_type IN ('view', 'purchase', 'click'))
 SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start, target, count(*) AS n FROM e

@@ -94,6 +94,19 @@ def match_keywords(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: As many keywords as the list of the study has.
+_LIST = 590
+
+
+def match_keyword_list(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of hundreds of keywords: words of the benchmark, every tenth in upper case."""
+    words = A.texts(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).filter("w <> ''").distinct()
+    listed = [r["w"] for r in words.orderBy(F.md5("w"), "w").limit(_LIST).collect()]
+    keywords = [w.upper() if i % 10 == 0 else w for i, w in enumerate(listed)]
+    docs = A.texts(spark, sf)
+    return docs.select("doc_id", F.array_join(X.match_keywords(F.col("text"), keywords), ",").alias("matched"))
+
+
 def de_emojize(spark: SparkSession, sf: str) -> DataFrame:
     """Emoji spans around the text of every second source; texts with bare '<' or '&' stay out of the markup."""
     docs = A.texts(spark, sf).withColumn("safe", F.translate("text", "<>&", "()+"))
@@ -136,6 +149,7 @@ QUERIES = {
     "normalize_text": normalize_text,
     "token_count": token_count,
     "match_keywords": match_keywords,
+    "match_keyword_list": match_keyword_list,
     "de_emojize": de_emojize,
     "separate_hashtags": separate_hashtags,
     "mask_urls": mask_urls,
@@ -164,6 +178,12 @@ SELECT doc_id, CAST(len([x FOR x IN string_split_regex(
        IF regexp_matches(x, '^\\p{{L}}+$') AND lower(x) NOT IN ({_STOP_SQL})]) AS BIGINT) AS tokens
 FROM {_SUFFIXED}""",
     "match_keywords": f"SELECT doc_id, {_matches('text')} AS matched, {_matches('lower(text)')} AS matched_ci FROM documents",
+    "match_keyword_list": f"""
+WITH words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE w <> ''),
+k AS (SELECT row_number() OVER (ORDER BY md5(w), w) - 1 AS i, w FROM words ORDER BY i LIMIT {_LIST}),
+hit AS (
+  SELECT doc_id, i FROM documents JOIN k ON contains(text, lower(w)))
+SELECT doc_id, coalesce(string_agg(i, ',' ORDER BY i), '') AS matched FROM documents LEFT JOIN hit USING (doc_id) GROUP BY doc_id""",
     "de_emojize": f"""
 SELECT doc_id, CASE WHEN lang = 'en' THEN {_EMOJI} || translate(text, '<>&', '()+') || ' bold ' || {_EMOJI} ELSE text END AS clean
 FROM documents""",

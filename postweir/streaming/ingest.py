@@ -3,11 +3,16 @@ state is bounded, so a copy of a post that arrives later than the watermark appe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
-from postweir.operators.extraction import finish_posts, post_copies
+from postweir.operators.extraction import LINE_ORDER, distinct_posts, finish_posts, post_copies
+from postweir.session import remove_path, session_conf, stage
 from postweir.sources.posts import interval_columns
 from postweir.sources.raw import parse_lines
 
@@ -45,6 +50,65 @@ def dedup_stream(posts: DataFrame, time: str = "created_at", delay: str = "1 hou
     return posts.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id"])
 
 
+class _Winner(StatefulProcessor):
+    """Keeps the place of the best copy of a post so far, and emits a copy whenever it is better."""
+
+    def __init__(self, time: str, keep_ms: int):
+        self.time, self.keep_ms = time, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", _PLACE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.best.get()) if self.best.exists() else None
+        best, frame = known, None
+        for part in rows:
+            for i, place in enumerate(zip(*(part[c] for c in LINE_ORDER), strict=True)):
+                if best is None or place < best:
+                    best, frame = place, part.iloc[[i]]
+        if frame is None:
+            return
+        if known is None:
+            at = frame[self.time].iloc[0]
+            self.handle.registerTimer(int(at.timestamp() * 1000) + self.keep_ms)
+        self.best.update(tuple(v.item() if hasattr(v, "item") else v for v in best))
+        yield frame
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.best.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_PLACE = "nested boolean, file_path string, block_start long, line_no long"
+
+
+def winning_copies(copies: DataFrame, time: str = "created_at", delay: str = "1 hour", keep_hours: int = 24) -> DataFrame:
+    """Copies of posts (`post_copies`) that are better than all copies of the same id before them: a top-level copy beats a nested one, then the earlier line.
+
+    The state of an id is the place of its best copy; a timer drops it once the watermark is `keep_hours` past the post's time. Until then a better copy that
+    comes in a later trigger is emitted as a correction, so the best of the emitted copies is the batch winner. Posts without a time are left to the
+    batch. Needs the RocksDB state store: start it with `write_winners`.
+    """
+    timed = copies.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    return timed.groupBy("id").transformWithStateInPandas(_Winner(time, keep_hours * 3_600_000), timed.schema, "Update", "EventTime")
+
+
+def write_winners(winners: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each trigger's winners go to a folder of the trigger's number, which a repeated trigger replaces; `read_winners` settles them."""
+    with session_conf(winners.sparkSession, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        writer = winners.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
+        return writer.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_winners(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each post: the best copy that any trigger emitted."""
+    return distinct_posts(spark.read.parquet(path).drop("batch"))
+
+
 def hourly_counts(edges: DataFrame, time: str = "created_at", target: str = "target", delay: str = "1 hour") -> DataFrame:
     """Interactions per hour and target, each hour emitted once it can no longer change."""
     counts = edges.withWatermark(time, delay).groupBy(F.window(time, "1 hour"), target).agg(F.count(F.lit(1)).alias("n"))
@@ -62,6 +126,44 @@ def open_hours(edges: DataFrame, emitted: DataFrame, time: str = "created_at", t
     return rest.groupBy("hour_start", target).agg(F.count(F.lit(1)).alias("n"))
 
 
+def count_hours(edges: DataFrame, path: str, checkpoint: str, time: str = "created_at", target: str = "target") -> StreamingQuery:
+    """Count everything available now, whatever its time, and stop: each trigger's interactions per hour and target go to a folder of the trigger's number.
+
+    There is no watermark and no state to outgrow: an edge that comes late adds to its hour, however long ago that was emitted. A trigger that is run again
+    after a failure replaces its own folder, so nothing counts twice. `hour_totals` reads the sums, `compact_hours` keeps the folders few.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.date_trunc("hour", time).alias("hour_start"), F.col(target).alias("target")).agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return edges.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+_HOUR_COUNTS = "hour_start timestamp, target string, n bigint, batch bigint"
+
+
+def hour_totals(spark: SparkSession, path: str) -> DataFrame:
+    """(hour_start, target, n) over all triggers of `count_hours`. Folders that a compaction has taken in are left out, also if it was cut off before it removed them."""
+    counts = spark.read.schema(_HOUR_COUNTS).parquet(path)
+    taken = counts.agg(F.min("batch")).first()[0]  # a compaction of the triggers up to k is the folder -1 - k
+    if taken is not None and taken < 0:
+        counts = counts.filter((F.col("batch") == taken) | (F.col("batch") > -1 - taken))
+    return counts.groupBy("hour_start", "target").agg(F.sum("n").alias("n"))
+
+
+def compact_hours(spark: SparkSession, path: str) -> None:
+    """Bring the folders of all triggers so far into one. Run it while no stream writes there."""
+    batches = [r["batch"] for r in spark.read.schema(_HOUR_COUNTS).parquet(path).select("batch").distinct().collect()]  # one number a trigger since the last time
+    if not batches:
+        return
+    upto = max(max(batches), *(-1 - b for b in batches if b < 0), 0)
+    staged = stage(hour_totals(spark, path), "hours")
+    staged.write.mode("overwrite").parquet(f"{path}/batch={-1 - upto}")
+    for b in batches:
+        if b != -1 - upto:
+            remove_path(spark, f"{path}/batch={b}")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
     """Append everything available now to parquet and stop."""
     writer: DataStreamWriter = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

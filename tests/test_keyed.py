@@ -79,3 +79,14 @@ def test_rows_that_ask_nothing_are_keyed_by_content(spark):
     assert "monotonically_increasing_id" not in plan and "xxhash64" in plan
     assert joined.count() == 1000 and joined.filter("hit = 1").count() == 50 and joined.columns == ["k", "v", "m", "hit"]
     assert keyed.spread_join(rows, lookup, ["k"], F.col("k").isNotNull(), "left_anti").count() == 950
+
+
+@pytest.mark.parametrize(("n", "max_dev"), [(0, 5), (1, 5), (7, 1), (1000, 200_000), (1000, 60), (1000, 0)])
+def test_positional_split_selects_the_cut(spark, n, max_dev):
+    rows = spark.range(n).repartition(3).select(F.when(F.col("id") >= 4, F.col("id") % 4).alias("a"), F.format_string("%05d", F.col("id") * 7 % 1009).alias("b"), F.lit("x" * 50).alias("text"))
+    split = keyed.positional_split(rows, ["a", "b"], max_dev=max_dev)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange rangepartitioning" not in plan
+    got = sorted(((r["a"] is not None, r["a"] or 0, r["b"]), r["split"]) for r in split.collect())
+    train = max(int(0.8 * n), n - max_dev)
+    assert [s for _, s in got] == ["train"] * train + ["dev"] * (n - train)

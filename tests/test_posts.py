@@ -103,15 +103,18 @@ def test_counts_absent_everywhere(spark):
     assert (row["num_replies"], row["num_quotes"], row["num_retweets"]) == (0, 0, 0)
 
 
-def test_grouped_users_split_hot_posts(spark):
-    rows = [(f"r{i}", "hot" if i % 3 else "cold", f"u{i % 50}") for i in range(300)]
-    df = spark.createDataFrame(rows, "id string, retweeted_status_id string, user_id string")
-    wanted = spark.createDataFrame([("hot",), ("cold",), ("hot",)], "id string")
-    distinct = retweeters.retweeters(df.union(df), wanted, ["user_id"])
-    grouped = retweeters.grouped_users(distinct, F.struct("user_id", F.lit(None).cast("string").alias("user_location")), parts=4)
-    parts = {(r["retweeted_status_id"], r["part"]): len(r["users"]) for r in grouped.collect()}
-    assert sum(n for (i, _), n in parts.items() if i == "hot") == 200
-    assert len([1 for (i, _) in parts if i == "hot"]) == len([1 for (i, _) in parts if i == "cold"]) == 4
-    lines = [json.loads(r["value"]) for r in retweeters.to_json_lines(grouped).collect()]
-    assert {tuple(line) for line in lines} == {("id", "part", "parts", "users")}
-    assert all(u["user_location"] is None for line in lines for u in line["users"])
+def test_dump_streams_a_hot_post(spark, tmp_path):
+    """One object a post, a post of 200 000 retweets included; rows are written as they come, nothing is collected."""
+    rows = spark.range(200_300).select(
+        F.col("id").cast("string").alias("id"), F.when(F.col("id") < 200_000, "hot").otherwise(F.concat(F.lit('q"'), (F.col("id") % 3).cast("string"))).alias("retweeted_status_id"),
+        F.format_string("u%07d", 300_000 - F.col("id")).alias("user_id"),
+    )
+    pieces = retweeters.dump_pieces(rows.repartition(5), F.struct("user_id", F.lit(None).cast("string").alias("user_location")))
+    plan = pieces._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    retweeters.write_grouped_json(pieces, str(tmp_path / "dump"))
+    lines = [json.loads(r["value"]) for r in retweeters.read_grouped_json(spark, str(tmp_path / "dump")).collect()]
+    users = {name: found for line in lines for name, found in line.items()}
+    assert len(lines) == 4 and {n: len(u) for n, u in users.items()} == {"hot": 200_000, 'q"0': 100, 'q"1': 100, 'q"2': 100}
+    assert all(u == sorted(u, key=lambda x: x["user_id"]) for u in users.values())
+    assert users['q"0'][0] == {"user_id": min(x["user_id"] for x in users['q"0']), "user_location": None}
