@@ -226,11 +226,12 @@ def item_blocks(items: DataFrame) -> Iterator[Items]:
 def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of each row and `leaks`: (item_id, start, end, edits) of each benchmark item found in its whole text.
 
-    start and end count code points. A null or empty text has no leaks; without items no row has any. Each block of items is one more pass over the
+    start and end count code points. A null or empty text has no leaks; without items no row has any. Rows may repeat, each has its own list; a column
+    `leaks` of `docs` is replaced. Of equally good matches of an item the first counts. Each block of items is one more pass over the
     rows in the same tasks; nothing is shuffled.
     """
-    keep = list(keep or docs.columns)
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *keep, F.array().cast(LEAKS).alias("leaks"))
+    keep = [c for c in keep or docs.columns if c != "leaks"]
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.array().cast(LEAKS).alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
     spark = docs.sparkSession
     for block in item_blocks(items):
@@ -260,6 +261,5 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None)
                         [*(batch.column(c).slice(i, j - i) for c in range(batch.num_columns - 1)), leaks.cast(kind)], batch.schema.names
                     )
 
-        schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-        rows = rows.mapInArrow(search, schema)
-    return rows.drop("_text")
+        rows = rows.mapInArrow(search, rows.schema)
+    return rows.select("kept.*", "leaks")

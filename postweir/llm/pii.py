@@ -125,7 +125,7 @@ def learn_patterns(found: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame, keep: list[str] | None = None, stage: str | None = None) -> DataFrame:
     """The columns `keep` of each row with `base` and `spans`: arrays of (start, rank, end, kind) over the whole text (null: empty).
 
-    `spans` has the base spans and those of the learned patterns that overlap none of them, by start, then rank. Rows may repeat. The
+    `spans` has the base spans and those of the learned patterns that overlap none of them, by start, then rank. Rows may repeat; columns `base` and `spans` of `docs` are replaced. The
     rows are written once with what was found in them (to `stage`, else a scratch folder), so that they are scanned once.
     """
     spark = docs.sparkSession
@@ -133,7 +133,7 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, stage: st
     text = F.coalesce(F.col("text"), F.lit(""))
     path = stage or scratch_path(spark, "personal")
     docs.select(
-        F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_kept"), base_spans(text).alias("base"), candidates(text).alias("cands"),
+        F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_kept"), base_spans(text).alias("base"), candidates(text).alias("cands"),
     ).write.parquet(path)
     found = spark.read.parquet(path)
     patterns = learn_patterns(found.where(F.size("cands") > 0).select("base", "cands"))
@@ -148,7 +148,8 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, stage: st
     )).alias("more"))
     rows = found.join(more, "_row", "left")
     spans = F.array_sort(F.concat("base", F.coalesce(F.col("more"), F.array().cast(SPANS))))
-    return rows.select("_kept.*", "base", spans.alias("spans"))
+    kept = [F.col(f"_kept.`{c}`").alias(c) for c in keep if c not in ("base", "spans")]
+    return rows.select(*kept, "base", spans.alias("spans"))
 
 
 def span_list(spans: Column) -> Column:
@@ -175,7 +176,7 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """All rows and columns, with [KIND] in the place of personal data; n_chars, where there is such a column, follows the text.
 
     Texts are not staged: their spans are found and kept by a digest of the text, and meet the texts again in one join. Equal texts have equal
-    spans, so rows may repeat, and a null text stays null. The join is a merge join whatever the size, as its small side grows with the texts.
+    spans, so rows may repeat, and a null text stays null. Other columns may have any name. The join is a merge join whatever the size, as its small side grows with the texts.
     """
     spark = docs.sparkSession
     code = F.sha2(F.col("text").cast("binary"), 256)
@@ -183,9 +184,8 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     found = find_personal_data(docs.select("text", code.alias("_code")), ["_code"], found_at).where(F.size("spans") > 0)
     found.groupBy("_code").agg(F.first("spans").alias("_spans")).write.parquet(spans_at)
     remove_path(spark, found_at)
-    rows = docs.withColumn("_code", code).join(spark.read.parquet(spans_at).hint("merge"), "_code", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), code.alias("_code")).join(spark.read.parquet(spans_at).hint("merge"), "_code", "left")
     hit = F.col("_spans").isNotNull()
-    masked = rows.withColumn("text", F.when(hit, mask(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+    masked = rows.select("row", F.when(hit, mask(F.col("row.text"), F.col("_spans"))).otherwise(F.col("row.text")).alias("masked"), hit.alias("hit"))
+    changed = {"text": F.col("masked"), "n_chars": F.when(F.col("hit"), F.length("masked").cast("bigint")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return masked.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

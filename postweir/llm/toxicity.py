@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postweir.llm.buffers import BASE, BYTE_CODES, mix, slices, text_bytes, words
 
@@ -191,9 +192,13 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[np.n
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categories: list[str], keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of each row and `p_CATEGORY` for each category, from the whole text (null: empty)."""
+    """The columns `keep` of each row and `p_CATEGORY` for each category, from the whole text (null: empty).
+
+    Rows may repeat; equal texts have equal probabilities. Columns of `docs` named like a probability are replaced.
+    """
     vocabulary, chain = model
-    keep = list(keep or docs.columns)
+    named = [f"p_{c}" for c in categories]
+    keep = [c for c in keep or docs.columns if c not in named]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +214,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
                     [*batch.schema.names[1:], *(f"p_{c}" for c in categories)],
                 )
 
-    chosen = docs.select(F.coalesce("text", F.lit("")).alias("_text"), *keep)
-    schema = ", ".join([f"`{n}` {t}" for n, t in chosen.drop("_text").dtypes] + [f"`p_{c}` double" for c in categories])
-    return chosen.mapInArrow(predict, schema)
+    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
+    schema = T.StructType([chosen.schema["kept"], *[T.StructField(n, T.DoubleType()) for n in named]])
+    return chosen.mapInArrow(predict, schema).select("kept.*", *named)

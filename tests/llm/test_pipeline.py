@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from postweir.llm import toxicity
+from postweir.llm import leaks, pii, toxicity
 from postweir.llm.catalog import CATEGORIES
 from tests.llm import cases
 from tests.llm.test_copies import expected_components
@@ -93,6 +93,15 @@ def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _stays string")
     kept = corpus_pipeline.drop_near_copies(spark, docs.withColumnRenamed("_stays", "label"), cases.SF).collect()
     assert sorted((r.doc_id, (r.text or "").lower()) for r in kept) == [(1, "a b c d e f"), (3, "g h i j k l m"), (7, ""), (7, ""), (7, "n o p q r s")]
+    clashing = ["_text", "leaks", "p_toxic", "p_quality", "_spans", "_code", "base", "spans", "row", "kept", "_id", "_hash", "_stays", "_place", "masked", "hit", "a.b", "text_hash", "piece"]
+    named = cases.documents(spark).select("doc_id", "text", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(clashing)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        named = spark.createDataFrame(stage(spark, named, cases.SF).collect(), named.schema)
+        assert named.columns == ["doc_id", "text", "n_chars", *clashing] and tuple(named.first()[3:]) == tuple(range(len(clashing)))
+    assert corpus_pipeline.STAGES[-1][1](spark, named, cases.SF).count() >= named.count() > 50
+    model = toxicity.fit(named, spark.read.parquet(f"{cases.SF}/labels.parquet"), CATEGORIES)
+    assert "p_toxic" in toxicity.score(named, model, CATEGORIES).columns and leaks.find_leaks(named, named.select(F.col("doc_id").alias("item_id"), "text").limit(0)).count() == named.count()
+    assert pii.find_personal_data(named).columns.count("spans") == 1
     empty = cases.empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, cases.SF).count() == 0
