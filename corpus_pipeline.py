@@ -17,11 +17,20 @@ from postweir.llm.tokens import tokenizer_path
 from postweir.session import scratch_path, ship_package
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row as one column, so that no column of it clashes with those that an operator adds."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain of classifiers, trained on the labelled ones, doesn't call toxic."""
     ship_package(spark)
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), CATEGORIES)
-    return toxicity.score(docs, model, CATEGORIES).where(F.col("p_toxic") <= toxicity.THRESHOLD).select(*docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), CATEGORIES)
+    return _unpacked(toxicity.score(_packed(docs), model, CATEGORIES, keep=["row"]).where(F.col("p_toxic") <= toxicity.THRESHOLD), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +46,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     per_text = marked.groupBy("doc_id", "text_hash").agg(F.max("_stays").alias("_stays"), F.count(F.lit(1)).alias("_rows"))
     changed = per_text.where("NOT _stays OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_stays")
     # a merge join whatever the size, as the ids grow with the texts; the window then needs no shuffle of its own
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     joined = keyed.join(changed.hint("merge"), ["_id", "_hash"], "left")
     place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
     kept = joined.withColumn("_place", place).where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_place") == 1)))
-    return kept.select(*docs.columns)
+    return _unpacked(kept, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     ship_package(spark)
-    return leaks.find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    return _unpacked(leaks.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["row"]).where(F.size("leaks") == 0), docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
