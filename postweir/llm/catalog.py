@@ -37,7 +37,7 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_partition_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+    return partenum.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,36 @@ QUERIES = {f.__name__: f for f in (
     op1_chat_formatting, op2_suffix_repeats, op3_token_records, op4_partition_signatures, op5_page_differencing, op6_edit_decontamination, op7_toxicity_chain, op8_personal_data,
     op9_pattern_packing, op10_quality_rules, op11_lexical_search, op12_source_mixing, op13_spelling_variants,
 )}
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": rf"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]'))),
+m AS (
+  SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[>]', '', 'g'))
+         + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + length(role) + length(regexp_replace(role, '[^\\<\[>]', '', 'g')) END AS chars
+  FROM r),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {_ORDER}) AS turns,
+         coalesce(string_agg(text, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '') AS lost, CAST(sum(chars) AS BIGINT) AS formatted_chars,
+         string_agg(role || ' ', '' {_ORDER}) AS roles
+  FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(lost) AS loss_chars, sha256(lost) AS loss_sha256, formatted_chars,
+       regexp_full_match(roles, '(system )?(user assistant )+') AS valid
+FROM c""",
+    "op4_partition_signatures": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op11_lexical_search": r"""
 WITH words AS (
   SELECT doc_id, rowid AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
