@@ -220,14 +220,23 @@ _KEYS = ["signature", "i", "j"]
 
 
 def _forest_candidates(members: DataFrame, maps: DataFrame) -> DataFrame:
-    """(a, b) with a < b: in each signature (of each block, if it has many sets) a forest of candidates by the bitmaps in `maps` (code, n, bitmap)."""
+    """(signature, a, b) with a < b: in each signature (of each block, if it has many sets) a forest of candidates by the bitmaps in `maps` (code, n, bitmap)."""
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in _by_key(batches, _Member, _forest):
-            yield _pairs([r for _, r in found])
+            yield pa.RecordBatch.from_arrays([pa.array([key[0] for key, _ in found], pa.int64()), *_pairs([r for _, r in found]).columns], ["signature", "a", "b"])
 
     rows = _dealt(members).where("i = j").withColumn("label", F.col("code"))
     dealt = rows.join(maps, "code").select(*_KEYS, "code", "n", "label", "block", "bitmap").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "code")
-    return dealt.mapInArrow(pair, "a long, b long").distinct()
+    return dealt.mapInArrow(pair, "signature long, a long, b long")
+
+
+def _undecided(groups: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(signature, code): the sets that the forest leaves open. Every set that may match any is in a pair of its signature, so a signature of one pair or none is settled once
+    that pair is compared; blocks of a signature of many sets have not met yet, so all of its sets are open."""
+    open_ = candidates.groupBy("signature").count().where(F.col("count") > 1).select("signature")
+    paired = candidates.join(open_, "signature", "left_semi").select("signature", F.explode(F.array("a", "b")).alias("code"))
+    large = groups.groupBy("signature").count().where(F.col("count") > BLOCK).select("signature")
+    return paired.unionByName(groups.join(large, "signature", "left_semi").select("signature", "code")).distinct()
 
 
 def _open_members(members: DataFrame, maps: DataFrame, labels: DataFrame) -> DataFrame:
@@ -388,10 +397,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _forest_candidates(groups, maps).write.parquet(f"{root}/forest")
     release(spark)
     forest = spark.read.parquet(f"{root}/forest")
+    _undecided(groups, forest).write.parquet(f"{root}/undecided")
+    undecided = spark.read.parquet(f"{root}/undecided")
+    forest = forest.select("a", "b").distinct()
     least = signed.where("n > 0").groupBy("code").agg(F.min("doc_id").alias("doc_id"))
-    # blocks of one signature meet in the second round only, so all of its sets may be asked for there
-    several = groups.groupBy("signature").count().where(F.col("count") > BLOCK).select("signature")
-    paired = forest.select(F.col("a").alias("code")).unionByName(forest.select(F.col("b").alias("code"))).unionByName(groups.join(several, "signature", "left_semi").select("code")).distinct()
+    paired = forest.select(F.col("a").alias("code")).unionByName(forest.select(F.col("b").alias("code"))).unionByName(undecided.select("code")).distinct()
     least.join(paired, "code", "left_semi").write.parquet(f"{root}/wanted")
     _elements(docs, spark.read.parquet(f"{root}/wanted")).write.parquet(f"{root}/elements")
     release(spark)
@@ -399,7 +409,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     _similar(forest, sets).write.parquet(f"{root}/links0")
     release(spark)
     labels = connect(spark.read.parquet(f"{root}/links0"), f"{root}/connect0")
-    _open_members(groups, maps, labels).write.parquet(f"{root}/open")
+    _open_members(undecided, maps, labels).write.parquet(f"{root}/open")
     release(spark)
     asked = spark.read.parquet(f"{root}/open")
     alike = asked.groupBy(*_KEYS).agg(F.sum(F.xxhash64("code", "block").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
