@@ -68,7 +68,7 @@ def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame
 
     Of `rows` only (conv_id, turn, role, text) are read. Turns are ordered by (turn, role, text), so ties and repeated rows
     have one order; a null role or text counts as empty and a null turn comes first. `segments` are (text, loss) in order and
-    `formatted` is their concatenation. A conversation whose roles break the order is formatted all the same, with `valid` false.
+    `formatted` is their concatenation; one conversation is one row, so its turns meet in one task. A conversation whose roles break the order is formatted all the same, with `valid` false.
     """
     template = template or Template()
     empty = F.lit("")

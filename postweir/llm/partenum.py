@@ -62,7 +62,7 @@ def bands(size: int) -> list[int]:
 
 def cells(size: int) -> int:
     """Cells of the bitmaps in the band of a size: a power of two."""
-    return max(64, 1 << (most_differences(1 << band_of(size)) * 8).bit_length())
+    return max(64, 1 << (most_differences(1 << band_of(size)) * 4).bit_length())
 
 
 def signatures(elements: np.ndarray, round_: int = 0) -> tuple[np.ndarray, bool]:
