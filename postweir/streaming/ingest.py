@@ -3,16 +3,13 @@ state is bounded, so a copy of a post that arrives later than the watermark appe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from postweir.operators.extraction import LINE_ORDER, distinct_posts, finish_posts, post_copies
-from postweir.session import remove_path, session_conf, stage
+from postweir.session import path_exists, remove_path, stage
 from postweir.sources.posts import interval_columns
 from postweir.sources.raw import parse_lines
 
@@ -50,63 +47,40 @@ def dedup_stream(posts: DataFrame, time: str = "created_at", delay: str = "1 hou
     return posts.withWatermark(time, delay).dropDuplicatesWithinWatermark(["id"])
 
 
-class _Winner(StatefulProcessor):
-    """Keeps the place of the best copy of a post so far, and emits a copy whenever it is better."""
-
-    def __init__(self, time: str, keep_ms: int):
-        self.time, self.keep_ms = time, keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", _PLACE)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.best.get()) if self.best.exists() else None
-        best, frame = known, None
-        for part in rows:
-            for i, place in enumerate(zip(*(part[c] for c in LINE_ORDER), strict=True)):
-                if best is None or place < best:
-                    best, frame = place, part.iloc[[i]]
-        if frame is None:
-            return
-        if known is None:
-            at = frame[self.time].iloc[0]
-            self.handle.registerTimer(int(at.timestamp() * 1000) + self.keep_ms)
-        self.best.update(tuple(v.item() if hasattr(v, "item") else v for v in best))
-        yield frame
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.best.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
+def winning_copies(copies: DataFrame, time: str = "created_at", delay: str = "1 hour", keep_hours: int = 24) -> DataFrame:
+    """Copies of posts (`post_copies`) that may win, for `write_winners`: a top-level copy beats a nested one, then the earlier line.
 
-_PLACE = "nested boolean, file_path string, block_start long, line_no long"
+    Each carries its time (`seen`) and the time until which its place is held against later copies (`until`): `delay` and `keep_hours` past its own. Posts without a
+    time are left to the batch.
+    """
+    until = F.col(time) + F.expr(f"INTERVAL {delay}") + F.expr(f"INTERVAL {keep_hours} HOURS")
+    return copies.filter(F.col(time).isNotNull()).withColumns({"seen": F.col(time), "until": until})
 
 
-def winning_copies(copies: DataFrame, time: str = "created_at", delay: str = "1 hour", keep_hours: int = 24) -> DataFrame:
-    """Copies of posts (`post_copies`) that are better than all copies of the same id before them: a top-level copy beats a nested one, then the earlier line.
+def write_winners(winners: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Each trigger's winners go to a folder of the trigger's number, which a repeated trigger replaces; `read_winners` settles them.
 
-    The state of an id is the place of its best copy; a timer drops it once the watermark is `keep_hours` past the post's time. Until then a better copy that
-    comes in a later trigger is emitted as a correction, so the best of the emitted copies is the batch winner. Posts without a time are left to the
-    batch. Needs the RocksDB state store: start it with `write_winners`.
+    A trigger ranks its own copies by joins and sorts of Spark, one row a post, and writes those that are better than the place of the post in the folders before. Only the columns of the
+    place are read there, and only of posts that are held: until the stream has seen a time past `until`. So a better copy in a later trigger is a correction, and the best
+    of the written copies is the batch winner, also of a post that is no longer held.
     """
-    timed = copies.filter(F.col(time).isNotNull()).withWatermark(time, delay)
-    return timed.groupBy("id").transformWithStateInPandas(_Winner(time, keep_hours * 3_600_000), timed.schema, "Update", "EventTime")
+    place = lambda prefix="": F.struct(*[F.col(f"{prefix}{c}") for c in LINE_ORDER])
 
+    def add(batch: DataFrame, number: int) -> None:
+        best = distinct_posts(batch)
+        if number and path_exists(batch.sparkSession, path):
+            held = batch.sparkSession.read.schema(StructType([*batch.schema, StructField("batch", LongType())])).parquet(path).filter(F.col("batch") < number)
+            latest = held.agg(F.max("seen")).first()[0]
+            places = held.filter(F.col("until") >= F.lit(latest)).groupBy("id").agg(F.min(place()).alias("place"))
+            best = best.join(places, "id", "left").filter(F.col("place").isNull() | (place() < F.col("place"))).select(*batch.columns)
+        best.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def write_winners(winners: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each trigger's winners go to a folder of the trigger's number, which a repeated trigger replaces; `read_winners` settles them."""
-    with session_conf(winners.sparkSession, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
-        writer = winners.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"))
-        return writer.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return winners.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_winners(spark: SparkSession, path: str) -> DataFrame:
     """One row for each post: the best copy that any trigger emitted."""
-    return distinct_posts(spark.read.parquet(path).drop("batch"))
+    return distinct_posts(spark.read.parquet(path).drop("batch", "seen", "until"))
 
 
 def hourly_counts(edges: DataFrame, time: str = "created_at", target: str = "target", delay: str = "1 hour") -> DataFrame:

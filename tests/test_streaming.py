@@ -3,6 +3,9 @@ from __future__ import annotations
 import shutil
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from postweir.operators.extraction import distinct_posts
 from postweir.streaming import ingest
 
 EDGES = "created_at timestamp, target string"
@@ -62,3 +65,20 @@ def test_a_later_top_level_copy_beats_a_nested_one(spark, tmp_path):
     run(("4", "much later", datetime(2024, 1, 21, 12), False, "c", 1))
     run(("5", "later still", datetime(2024, 1, 22, 12), False, "d", 1))
     assert winners() == {"1": "top later", "2": "top", "4": "much later", "5": "later still"}
+
+
+def test_winners_are_ranked_without_a_python_call_for_each_post(spark, tmp_path):
+    """Spark ranks a trigger's copies and joins them with the places before, so no Python worker sees a post."""
+    source, out = str(tmp_path / "copies"), str(tmp_path / "winners")
+    rows = spark.range(20_000).select(
+        (F.col("id") % 5000).cast("string").alias("id"), F.col("id").cast("string").alias("user_id"), F.lit(datetime(2024, 1, 20)).alias("created_at"),
+        (F.col("id") % 3 > 0).alias("nested"), F.format_string("f%02d", 9 - F.col("id") % 10).alias("file_path"), F.lit(0).cast("bigint").alias("block_start"), F.col("id").alias("line_no"),
+    )
+    rows.repartition(4).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    winners = ingest.winning_copies(stream)
+    assert "Python" not in winners._jdf.queryExecution().toString() and "Pandas" not in winners._jdf.queryExecution().toString()
+    ingest.write_winners(winners, out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = ingest.read_winners(spark, out)
+    assert got.columns == rows.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, distinct_posts(rows).collect()))
+    assert spark.read.parquet(out).select("batch").distinct().count() == 4
