@@ -59,8 +59,7 @@ def grid_of(edges: DataFrame) -> Grid | None:
     return Grid(float(2.0 ** np.ceil(np.log2(extent / along))) if extent else 1.0, *[found[c] for c in "abcd"])
 
 
-def _edge() -> dict[str, Column]:
-    return {c: F.col(c) for c in ("x1", "y1", "x2", "y2")}
+_EDGE = ("x1", "y1", "x2", "y2")
 
 
 def grid_cells(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -75,42 +74,60 @@ def grid_cells(edges: DataFrame, grid: Grid) -> DataFrame:
     # corners whose ray to the right crosses the edge; a ray that meets a vertex or runs along an edge is taken as a little higher, and a little to the right
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     lines = edges.withColumn("first", F.ceil(low / size).cast("bigint")).withColumn("last", F.ceil(high / size).cast("bigint") - 1).where("first <= last")
-    corners = lines.withColumn("cy", F.explode(F.sequence("first", "last"))).withColumn(
-        "cx", F.explode(F.sequence(F.lit(int(np.floor(grid.low_x / size))), F.floor(F.greatest("x1", "x2") / size).cast("bigint")))
-    )
-    side = (F.col("cy") * size - F.col("y1")) * dx - (F.col("cx") * size - F.col("x1")) * dy
-    left = F.when(side != 0, side > 0).when(dx != 0, dx > 0).otherwise(dy < 0)
-    crossed = corners.where(left == (F.col("y2") > F.col("y1"))).groupBy("cx", "cy", "ord", "iso_a2").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    rows = lines.withColumn("cy", F.explode(F.sequence("first", "last")))
+    west = F.lit(int(np.floor(grid.low_x / size))).cast("bigint")
+
+    def crosses(cx: Column) -> Column:
+        side = (F.col("cy") * size - F.col("y1")) * dx - (cx * size - F.col("x1")) * dy
+        left = F.when(side != 0, side > 0).when(dx != 0, dx > 0).otherwise(dy < 0)
+        return left == (F.col("y2") > F.col("y1"))
+
+    # all corners up to the last one left of the edge: where the edge meets the line tells it but for rounding, so the corners around are asked; an edge is one row for each line, not for each corner
+    about = F.floor((F.col("x1") + (F.col("cy") * size - F.col("y1")) * (dx / dy)) / size).cast("bigint")
+    last = F.col("about") - 2 + sum((F.when(crosses(F.col("about") + k), 1).otherwise(0) for k in (-1, 0, 1)), F.lit(0))
+    upto = F.least(last, F.floor(F.greatest("x1", "x2") / size).cast("bigint"))
+    met = rows.withColumn("about", about).withColumn("upto", upto).groupBy("cy", "ord", "iso_a2", "upto").agg(F.count(F.lit(1)).alias("n")).where(F.col("upto") >= west)
+    corners = met.where("n % 2 = 1").withColumn("cx", F.explode(F.sequence(west, "upto")))
+    crossed = corners.groupBy("cx", "cy", "ord", "iso_a2").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
     names = ["cx", "cy", "ord", "iso_a2"]
-    both = passing.select(*names, *_edge()).unionByName(crossed.select(*names), allowMissingColumns=True)
+    both = passing.select(*names, *_EDGE).unionByName(crossed.select(*names), allowMissingColumns=True)
     return stage(both.withColumn("ord", F.col("ord").cast("bigint")).repartition("cx", "cy").sortWithinPartitions("cx", "cy").mapInArrow(_pack_cells, _CELL), "cells")
 
 
 def _pack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, rows = None, []
+    """One row a cell from the rows of (cx, cy, ord, iso_a2, x1, y1, x2, y2), whole columns at a time; those of a cell come together."""
+    key, held = None, []
 
     def close() -> Iterator[pa.RecordBatch]:
-        if not rows:
+        if not held:
             return
-        names = sorted({(r[0], r[1] or "", r[1]) for r in rows})
-        place = {(n[0], n[2]): i for i, n in enumerate(names)}
-        inside = [False] * len(names)
-        for r in rows:
-            if r[2] is None:
-                inside[place[r[0], r[1]]] = True
-        lines = [r for r in rows if r[2] is not None]
-        edges, owner = np.array([r[2:] for r in lines], np.float64), np.array([place[r[0], r[1]] for r in lines], np.int32)
+        rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        ords, isos = (rows[c].combine_chunks().dictionary_encode("encode") for c in ("ord", "iso_a2"))
+        found, which = np.unique(ords.indices.to_numpy().astype(np.int64) * len(isos.dictionary) + isos.indices.to_numpy(), return_inverse=True)
+        ord_values, iso_values = ords.dictionary.to_pylist(), isos.dictionary.to_pylist()
+        names = [(ord_values[k // len(iso_values)], iso_values[k % len(iso_values)]) for k in found.tolist()]
+        order = sorted(range(len(names)), key=lambda k: (names[k][0], names[k][1] or "", names[k][1] is not None))
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        line = rows["x1"].is_valid().to_numpy()
+        owner, inside = place[which], np.zeros(len(names), bool)
+        inside[owner[~line]] = True
+        edges = np.stack([rows[c].to_numpy()[line] for c in _EDGE], axis=1).astype(np.float64)
         yield pa.RecordBatch.from_arrays([
-            pa.array([key[0]]), pa.array([key[1]]), pa.array([[n[0] for n in names]], pa.list_(pa.int64())), pa.array([[n[2] for n in names]], pa.list_(pa.string())),
-            pa.array([inside], pa.list_(pa.bool_())), pa.array([edges.tobytes()], pa.binary()), pa.array([owner.tobytes()], pa.binary()),
+            pa.array([key[0]]), pa.array([key[1]]), pa.array([[names[k][0] for k in order]], pa.list_(pa.int64())), pa.array([[names[k][1] for k in order]], pa.list_(pa.string())),
+            pa.array([inside.tolist()], pa.list_(pa.bool_())), pa.array([edges.tobytes()], pa.binary()), pa.array([owner[line].tobytes()], pa.binary()),
         ], ["cx", "cy", "ords", "isos", "inside", "edges", "owner"])
 
     for batch in batches:
-        for cx, cy, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (cx, cy) != key:
+        cx, cy = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])])).tolist() if len(cx) else []
+        for i, j in zip(first, [*first[1:], len(cx)], strict=False):
+            here = (int(cx[i]), int(cy[i]))
+            if here != key:
                 yield from close()
-                key, rows = (cx, cy), []
-            rows.append(row)
+                key = here
+            held.append(batch.slice(i, j - i))
     yield from close()
 
 
