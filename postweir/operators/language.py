@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from postweir.operators.keyed import spread_join
 from postweir.session import ensure_checkpoint_dir, stage
 
 #: Characters counted at once in a task; a longer text is counted alone and whole.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def letters_of(text: Column) -> Column:
@@ -43,15 +44,16 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return codes[inside], owner[:-2][inside]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, text in enumerate(texts):
-        if size and size + len(text or "") > SLICE_CHARS:
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts, given their lengths, of SLICE_CHARS characters or one longer text."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > SLICE_CHARS:
             yield first, i
-            first, size = i, 0
-        size += len(text or "")
-    if first < len(texts):
-        yield first, len(texts)
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +66,11 @@ def _counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n) of each slice of texts."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, j in _slices(texts):
-            codes, owner = _grams(texts[i:j])
-            names = sorted(set(langs[i:j]))
-            lang = np.array([names.index(x) for x in langs[i:j]], np.int64)[owner]
+        for i, texts in _text_slices(batch.column(1)):
+            codes, owner = _grams(texts)
+            langs = batch.column(0).slice(i, len(texts)).to_pylist()
+            names = sorted(set(langs))
+            lang = np.array([names.index(x) for x in langs], np.int64)[owner]
             for k, name in enumerate(names):
                 grams, times = _counts(codes[lang == k])
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(times, pa.int64())], ["lang", "gram", "n"])
@@ -94,23 +96,37 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
 _GRAM_COUNTS = T.ArrayType(T.StructType([T.StructField("gram", T.LongType()), T.StructField("times", T.IntegerType())]))
 
 
-@F.arrow_udf(_GRAM_COUNTS)
-def _counted(texts: pa.Array) -> pa.Array:
-    values = texts.to_pylist()
-    codes, times, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for i, j in _slices(values):
-        grams, owner = _grams(values[i:j])
-        bounds = np.searchsorted(owner, np.arange(j - i + 1))
-        for first, last in zip(bounds, bounds[1:], strict=False):
-            found, n = _counts(grams[first:last])
-            codes.append(found)
-            times.append(n)
-            sizes.append(len(found))
-    sizes = np.array(sizes, np.int64)
+def _count_lists(texts: list[str | None]) -> pa.Array:
+    """For each text the list of its (gram, times), NULL without any."""
+    grams, owner = _grams(texts)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    counts = [_counts(grams[first:last]) for first, last in zip(bounds, bounds[1:], strict=False)]
+    sizes = np.array([len(found) for found, _ in counts], np.int64)
     none = np.append(sizes == 0, False)
     cuts = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=none if none.any() else None)
-    counts = pa.StructArray.from_arrays([pa.array(np.concatenate(codes)), pa.array(np.concatenate(times).astype(np.int32))], ["gram", "times"])
-    return pa.ListArray.from_arrays(cuts, counts)
+    values = np.concatenate([np.zeros(0, np.int64), *(found for found, _ in counts)])
+    times = np.concatenate([np.zeros(0, np.int64), *(n for _, n in counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([pa.array(values), pa.array(times)], ["gram", "times"]))
+
+
+def _text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of slices of a column: only one slice at a time is made Python strings."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    for i, j in _slices(sizes):
+        yield i, texts.slice(i, j - i).to_pylist()
+
+
+@F.arrow_udf(_GRAM_COUNTS)
+def _counted(texts: pa.Array) -> pa.Array:
+    return pa.concat_arrays([_count_lists([]), *(_count_lists(part) for _, part in _text_slices(texts))])
+
+
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of a row but the last, its text, in whose place come the text's counts; a batch goes out in slices, so that only one slice's counts are held."""
+    for batch in batches:
+        last = batch.num_columns - 1
+        for i, part in _text_slices(batch.column(last)):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, len(part)) for c in range(last)), _count_lists(part)], batch.schema.names)
 
 
 def gram_counts(text: Column) -> Column:
@@ -133,8 +149,10 @@ def detect_lang(df: DataFrame, profiles: DataFrame, keys: list[str], text: str =
     # as a written table Spark knows its size, and joins it where the texts are if it is small enough
     weights = stage(weights, "profile")
     # a text without trigrams gets a row of its own that asks nothing
-    counted = F.coalesce(gram_counts(F.col(text)), F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("times"))))
-    grams = df.select(*keys, F.explode(counted).alias("g")).select(*keys, "g.gram", "g.times")
+    own = df.select(F.struct(*keys).alias("keys"), letters_of(F.col(text)).alias("counts"))
+    listed = own.mapInArrow(_count_rows, T.StructType([own.schema["keys"], T.StructField("counts", _GRAM_COUNTS)]))
+    counted = F.coalesce("counts", F.array(F.struct(F.lit(None).cast("bigint").alias("gram"), F.lit(0).alias("times"))))
+    grams = listed.select("keys.*", F.explode(counted).alias("g")).select(*keys, "g.gram", "g.times")
     sums = spread_join(grams, weights, ["gram"], F.col("gram").isNotNull()).groupBy(*keys).agg(
         F.sum("times").alias("n"),
         F.count("w0").alias("known"),

@@ -8,6 +8,7 @@ import time
 from collections import Counter
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,17 @@ def test_gram_counts_of_long_texts(spark):
     assert took[200_000] < 8 * max(took[50_000], 0.5)
 
 
+def test_counts_of_a_batch_go_out_in_slices():
+    """A batch of long texts is counted slice by slice; what a task holds doesn't grow with the texts of a batch."""
+    texts = [f"{chr(97 + i % 26)}bc " * 2500 for i in range(300)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(302))], ["id"]), pa.array(texts)], ["keys", "counts"])
+    parts = list(language._count_rows(iter([batch])))
+    assert sum(p.num_rows for p in parts) == 302 and max(p.num_rows for p in parts) * 10_000 <= language.SLICE_CHARS + 20_000
+    rows = [r for p in parts for r in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)]
+    assert [k["id"] for k, _ in rows] == list(range(302)) and rows[300][1] is None and rows[301][1] is None
+    assert all({g["gram"]: g["times"] for g in counts} == Counter(language.gram_code(f" {t} "[i : i + 3]) for i in range(len(t))) for (_, counts), t in zip(rows[:2], texts, strict=False))
+
+
 def test_bio_corpora(spark, tmp_path):
     sources = [docs(spark), docs(spark, 10).withColumn("user_description", F.lit("abc"))]
     totals = bios.write_prediction_corpus(sources, str(tmp_path / "p"), ["user_id"])
