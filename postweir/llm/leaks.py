@@ -25,6 +25,8 @@ WALKS, TABLES, SAMPLES = 2, 40, 3
 #: Starts of windows of the same item closer than this are one window.
 START_STEP = 16
 BLOCK_BYTES = 1 << 22
+#: Bytes of texts hashed at once, and windows walked at once; they bound a task's memory, not what is found.
+SEED_SLICE, WALKED = 1 << 18, 1 << 12
 
 LEAKS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
@@ -87,7 +89,7 @@ class Items:
         self.gate = np.zeros(1 << 20, bool)
         self.gate[(flat & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         longest = int(self.lengths.max(initial=1))
-        self.moves = rng.integers(0, 2, (WALKS, 2 * longest + 1, 256), dtype=np.int64)
+        self.moves = rng.integers(0, 2, (WALKS, 2 * longest + 1, 256), dtype=np.int64).astype(np.int8)
         # sampled steps as shares of an item's walk, so that items of all lengths use them
         self.steps = rng.random((WALKS, TABLES, SAMPLES))
         data = np.frombuffer(b"".join(self.texts), np.uint8)
@@ -126,11 +128,15 @@ class Items:
 
     def windows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, start, item) of the windows to walk."""
-        hashes = seeds(data)
-        place = np.flatnonzero(self.gate[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        first = np.searchsorted(self.seeds, hashes[place])
-        count = np.searchsorted(self.seeds, hashes[place], "right") - first
-        place, first, count = place[count > 0], first[count > 0], count[count > 0]
+        found = []
+        for i in range(0, len(data), SEED_SLICE):
+            hashes = seeds(data[i : i + SEED_SLICE + SEED_BYTES - 1])
+            place = np.flatnonzero(self.gate[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            first = np.searchsorted(self.seeds, hashes[place])
+            count = np.searchsorted(self.seeds, hashes[place], "right") - first
+            some = count > 0
+            found.append((place[some] + i, first[some], count[some]))
+        place, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
         at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         place = np.repeat(place, count)
         owner = np.searchsorted(bounds, place, "right") - 1
@@ -153,8 +159,8 @@ class Items:
             return []
         owner, start, item = self.windows(data, bounds)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for i in range(0, len(owner), 1 << 14):
-            part = slice(i, i + (1 << 14))
+        for i in range(0, len(owner), WALKED):
+            part = slice(i, i + WALKED)
             likely = np.flatnonzero((self.walk(data, start[part], item[part]) == self.codes[item[part]]).any(1)) + i
             for w in likely.tolist():
                 d, k = int(owner[w]), int(item[w])

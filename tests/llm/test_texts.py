@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -109,6 +110,22 @@ def test_leaks(spark):
     assert leaks.find_leaks(cases.empty(spark), items).count() == 0
 
 
+def test_looking_for_leaks_takes_memory_by_slices():
+    """The hashes of a long text and the walks of its windows are held a slice at a time; what is found doesn't depend on the slices."""
+    items = [f"item {i} " + "abcdefghij klmnop "[i % 7 :] * 12 for i in range(20)]
+    block = leaks.Items(list(range(20)), items)
+    rng = np.random.default_rng(1)
+    noise = rng.integers(97, 123, 1 << 21, dtype=np.uint8).tobytes()
+    text = b"".join(noise[i << 16 : (i + 1) << 16] + items[i % 20].encode().strip() + b" " for i in range(32))
+    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    tracemalloc.start()
+    found = block.find(data, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {k for _, k, *_ in found} == set(range(20)) and all(m[-1] == 0 for m in found)
+    assert peak < 40 << 20 and block.moves.itemsize == 1
+
+
 def test_leak_recall_with_many_edits():
     import duckdb
 
