@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from postweir.plans import annotation_study, bios, extract_stream, retweeter_dump
 from postweir.operators import language, predictions, retweeters
+from postweir.plans.catalog.stream import _append_capture
 from postweir.schema import USER_COLUMNS
+from postweir.session import session_conf
 from postweir.sources import posts as post_files
 from postweir.sources import raw, shards, tables
 from tests.test_posts import post, user
@@ -191,6 +193,16 @@ def test_nothing_is_left_behind(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == ["more nonsense", "more nonsense", "nonsense"]
 
 
+def test_a_large_interval_is_written_by_several_tasks_in_line_order(spark, tmp_path):
+    lines = spark.range(20_000).select(
+        F.lit("2024").alias("y"), F.lit("01").alias("m"), F.lit("01").alias("d"), F.lit("00").alias("h"), ((F.col("id") * 7919) % 20_000).alias("event_id"), F.lit(0).alias("n"),
+    ).withColumn("value", F.col("event_id").cast("string"))
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        _append_capture(lines, str(tmp_path / "raw"))
+    files = sorted((tmp_path / "raw" / "y=2024" / "m=01" / "d=01" / "h=00").glob("part-*"))
+    assert len(files) > 2 and [int(x) for f in files for x in f.read_text().split()] == list(range(20_000))
+
+
 def test_retweeter_dump(spark, tmp_path):
     root = tmp_path / "raw"
     put(root, "07/10", "a", [at(str(i), "Thu May 07 10:00:00", retweeted_status=post("1" if i % 2 else "2"), user=user(f"u{i}")) for i in range(10, 20)] * 2)
