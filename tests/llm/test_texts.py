@@ -58,6 +58,16 @@ def test_neighbours_lose_shared_lines(spark):
     assert got == {i: f"story {i}" for i in range(8)}
 
 
+def test_neighbours_decide_inside_the_article(spark):
+    """A line that both neighbours have goes; without one of them it stays, and so does the text of mirrors."""
+    page = "<article><p>story {0} a</p><p>story {0} b</p><p>Read us daily</p><p>story {0} c</p></article>"
+    rows = [(i, f"http://h.example/en/1{i}", page.format(i), "") for i in range(3)]
+    assert extract(spark, rows)[1] == "story 1 a story 1 b story 1 c"
+    assert extract(spark, rows[:2])[1] == "story 1 a story 1 b Read us daily story 1 c"
+    mirrors = [(i, f"http://h.example/en/1{i}", page.format(0), "") for i in range(3)]
+    assert set(extract(spark, mirrors).values()) == {"story 0 a story 0 b Read us daily story 0 c"}
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(400):
