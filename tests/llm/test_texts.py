@@ -66,6 +66,8 @@ def test_neighbours_decide_inside_the_article(spark):
     assert extract(spark, rows[:2])[1] == "story 1 a story 1 b Read us daily story 1 c"
     mirrors = [(i, f"http://h.example/en/1{i}", page.format(0), "") for i in range(3)]
     assert set(extract(spark, mirrors).values()) == {"story 0 a story 0 b Read us daily story 0 c"}
+    # n_shared counts the lines a neighbour shares, whether they go or stay
+    assert {r.n_shared for r in pages.extract_text(spark.createDataFrame(mirrors, PAGES)).collect()} == {4}
 
 
 def test_longest_common_subsequence():
