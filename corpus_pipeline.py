@@ -18,19 +18,19 @@ from postweir.session import scratch_path, ship_package
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The text, and the whole row as one column, so that no column of it clashes with those that an operator adds."""
-    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """The text, and the rest of the row as one column, so that no column of it clashes with those that an operator adds."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return rows.select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain of classifiers, trained on the labelled ones, doesn't call toxic."""
     ship_package(spark)
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), CATEGORIES)
-    return _unpacked(toxicity.score(_packed(docs), model, CATEGORIES, keep=["row"]).where(F.col("p_toxic") <= toxicity.THRESHOLD), docs)
+    return _unpacked(toxicity.score(_packed(docs), model, CATEGORIES, keep=["text", "row"]).where(F.col("p_toxic") <= toxicity.THRESHOLD), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     joined = keyed.join(changed.hint("merge"), ["_id", "_hash"], "left")
     place = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
     kept = joined.withColumn("_place", place).where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_place") == 1)))
-    return _unpacked(kept, docs)
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was found."""
     ship_package(spark)
-    return _unpacked(leaks.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["row"]).where(F.size("leaks") == 0), docs)
+    return _unpacked(leaks.find_leaks(_packed(docs), table(spark, sf_dir, "benchmark"), keep=["text", "row"]).where(F.size("leaks") == 0), docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

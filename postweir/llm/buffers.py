@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer text is handled alone and whole.
 SLICE_BYTES = 1 << 20
@@ -26,6 +28,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def kept_columns(keep: list[str]) -> Column:
+    """(kept): the columns `keep` as one, without `text`: a task that reads the text has it in a column of its own, and needs it only once."""
+    return F.struct(*([F.col(f"`{c}`") for c in keep if c != "text"] or [F.lit(True).alias("none")])).alias("kept")
+
+
+def unkept_columns(keep: list[str]) -> list[Column]:
+    """The columns `keep` again."""
+    return [F.col("text") if c == "text" else F.col(f"kept.`{c}`").alias(c) for c in keep]
+
+
 def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [first, last) of texts of about `limit` bytes together."""
     first, count = 0, len(bounds) - 1

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postweir.llm.buffers import BASE, BYTE_CODES, mix, slices, text_bytes
+from postweir.llm.buffers import BASE, BYTE_CODES, kept_columns, mix, slices, text_bytes, unkept_columns
+from postweir.session import bound_batches
 
 SEED_BYTES = 14
 #: Edits allowed, as a share of the item's length; items shorter than LEAST_BYTES say too little and are left out.
@@ -25,8 +26,8 @@ WALKS, TABLES, SAMPLES = 2, 40, 3
 #: Starts of windows of the same item closer than this are one window.
 START_STEP = 16
 BLOCK_BYTES = 1 << 22
-#: Bytes of texts hashed at once, and windows walked at once; they bound a task's memory, not what is found.
-SEED_SLICE, WALKED = 1 << 18, 1 << 12
+#: Bytes of texts searched and hashed at once, and windows walked at once; they bound a task's memory, not what is found.
+SEARCHED, SEED_SLICE, WALKED = 1 << 21, 1 << 18, 1 << 12
 
 LEAKS = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
@@ -237,18 +238,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None)
     rows in the same tasks; nothing is shuffled.
     """
     keep = [c for c in keep or docs.columns if c != "leaks"]
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.array().cast(LEAKS).alias("leaks"))
+    rows = docs.select("text", kept_columns(keep), F.array().cast(LEAKS).alias("leaks"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
     spark = docs.sparkSession
+    bound_batches(spark)
     for block in item_blocks(items):
         shared = spark.sparkContext.broadcast(block)  # at most BLOCK_BYTES of text and its index
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                data, bounds = text_bytes(batch.column(0))
+                data, bounds = text_bytes(batch.column(0).fill_null(""))
                 before = batch.column(batch.num_columns - 1)
-                for i, j in slices(bounds, 1 << 22):
+                for i, j in slices(bounds, SEARCHED):
                     raw, cuts = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
                     flat, flat_cuts, places = normalize(raw, cuts)
                     found = block.find(flat, flat_cuts)
@@ -268,4 +270,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, keep: list[str] | None = None)
                     )
 
         rows = rows.mapInArrow(search, rows.schema)
-    return rows.select("kept.*", "leaks")
+    return rows.select(*unkept_columns(keep), "leaks")

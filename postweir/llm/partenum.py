@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postweir.llm.buffers import gram_hashes, lower_ascii, mix, slices, text_bytes, word_hashes, words
-from postweir.session import remove_path, scratch_path
+from postweir.session import bound_batches, remove_path, scratch_path
 
 SHINGLE = 5
 #: Similarity as a percentage, so that all bounds are whole numbers.
@@ -370,6 +370,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spanning part of a group of near copies). Equal sets are handled once. A null doc_id belongs to its set, and has a component as the others.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     root = scratch_path(spark, "near")
     for round_ in range(20):
         path = f"{root}/signed{round_}"

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postweir.llm.buffers import BASE, BYTE_CODES, mix, slices, text_bytes, words
+from postweir.llm.buffers import BASE, BYTE_CODES, kept_columns, mix, slices, text_bytes, unkept_columns, words
+from postweir.session import bound_batches
 
 #: Labelled rows used for training at most (a random share, by a hash of the id), and features kept of those with the clearest difference.
 TRAINING_ROWS, FEATURES = 12_000, 1500
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str]) -> tuple[np.n
     and without the last category differ most, against chance, are kept. Nulls count as empty texts or unknown labels; without labelled
     rows of both sorts nothing is learned and every probability stays even.
     """
+    bound_batches(docs.sparkSession)
     last = categories[-1]
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(c).cast("double").alias(c) for c in categories])
     have = known.count()
@@ -199,10 +201,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
     vocabulary, chain = model
     named = [f"p_{c}" for c in categories]
     keep = [c for c in keep or docs.columns if c not in named]
+    first = 0 if "text" in keep else 1
+    bound_batches(docs.sparkSession)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, bounds = text_bytes(batch.column(0))
+            data, bounds = text_bytes(batch.column(0).fill_null(""))
             for i, j in slices(bounds):
                 if chain:
                     owner, column, times, n_words = _hits(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], vocabulary)
@@ -210,10 +214,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, list[np.ndarray]], categorie
                 else:
                     found = np.full((j - i, len(categories)), 0.5)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(i, j - i) for k in range(1, batch.num_columns)), *(pa.array(x) for x in found.T)],
-                    [*batch.schema.names[1:], *(f"p_{c}" for c in categories)],
+                    [*(batch.column(k).slice(i, j - i) for k in range(first, batch.num_columns)), *(pa.array(x) for x in found.T)],
+                    [*batch.schema.names[first:], *(f"p_{c}" for c in categories)],
                 )
 
-    chosen = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"))
-    schema = T.StructType([chosen.schema["kept"], *[T.StructField(n, T.DoubleType()) for n in named]])
-    return chosen.mapInArrow(predict, schema).select("kept.*", *named)
+    chosen = docs.select("text", kept_columns(keep))
+    schema = T.StructType([*chosen.schema.fields[first:], *[T.StructField(n, T.DoubleType()) for n in named]])
+    return chosen.mapInArrow(predict, schema).select(*unkept_columns(keep), *named)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
-from postweir.llm import leaks, pii, toxicity
+from postweir.llm import buffers, leaks, pii, toxicity
 from postweir.llm.catalog import CATEGORIES
 from tests.llm import cases
 from tests.llm.test_copies import expected_components
@@ -110,3 +112,22 @@ def test_repeated_rows_and_empty_tables(spark):
 def test_entry_has_the_queries():
     names = contract.queries()
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
+
+
+def test_texts_reach_python_once_in_small_batches(spark):
+    rows = [(i, None if i == 7 else f"{i} " + "plain words of a text " * 200, "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `text ` string").coalesce(1)
+    items = spark.createDataFrame([(1, "something that no text holds, long enough to be looked for")], "item_id long, text string")
+    found = leaks.find_leaks(docs, items)
+    assert found.columns == [*docs.columns, "leaks"] and found.drop("leaks").exceptAll(docs).isEmpty() and found.count() == 3000
+    scored = toxicity.score(docs, (np.zeros(0, np.uint64), []), CATEGORIES)
+    assert scored.columns[:3] == docs.columns and scored.select(docs.columns).exceptAll(docs).isEmpty() and scored.count() == 3000
+    assert leaks.find_leaks(docs, items, keep=["text"]).columns == ["text", "leaks"]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 5 << 20
+    assert "text" not in docs.select(buffers.kept_columns(docs.columns)).schema["kept"].dataType.names
+    assert "text" not in corpus_pipeline._packed(docs).schema["row"].dataType.names
