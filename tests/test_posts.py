@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from postweir.functions import posts as P
 from postweir.operators import extraction, interactions, retweeters
+from postweir.session import session_conf
 from postweir.sources import raw
 
 
@@ -118,3 +121,19 @@ def test_dump_streams_a_hot_post(spark, tmp_path):
     assert len(lines) == 4 and {n: len(u) for n, u in users.items()} == {"hot": 200_000, 'q"0': 100, 'q"1': 100, 'q"2': 100}
     assert all(u == sorted(u, key=lambda x: x["user_id"]) for u in users.values())
     assert users['q"0'][0] == {"user_id": min(x["user_id"] for x in users['q"0']), "user_location": None}
+
+
+def test_dump_lines_are_joined_from_blocks(spark, tmp_path):
+    rng = random.Random(1)
+    for i in range(4):
+        ends = ["\n", "\n ", "\r\n", " \n", "\n\n"]
+        lines = [" ".join(rng.choice(["", "a", "bb  c", " ", "{x", "é", "y y"]) for _ in range(rng.randint(0, 90))) + rng.choice(ends) for _ in range(rng.randint(1, 12))]
+        (tmp_path / f"part-{i}.txt").write_bytes(("".join(lines) + "last" * (i % 2)).encode())
+    texts = [p.read_bytes().decode() for p in sorted(tmp_path.iterdir())]
+    expected = sorted(x.strip(" ") for t in texts for x in re.split("[\r\n]", t) if x.strip(" "))
+    for block, rows in (("1g", "10000"), ("100", "10000"), ("500", "3")):
+        with session_conf(spark, spark__sql__files__maxPartitionBytes=block, spark__sql__files__openCostInBytes="1", spark__sql__execution__arrow__maxRecordsPerBatch=rows):
+            found = retweeters.read_grouped_json(spark, str(tmp_path))
+            assert sorted(r["value"] for r in found.collect()) == expected
+            # words are joined; no task reads on to the end of a line of other blocks
+            assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
