@@ -50,9 +50,12 @@ def slices(bounds: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
 
 def mix(values: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
-    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
+    values = values ^ (values >> np.uint64(30))
+    values *= np.uint64(0xBF58476D1CE4E5B9)
+    values ^= values >> np.uint64(27)
+    values *= np.uint64(0x94D049BB133111EB)
+    values ^= values >> np.uint64(31)
+    return values
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

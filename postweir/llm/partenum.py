@@ -1,9 +1,10 @@
 """Exact Jaccard join of sets of word shingles by partition signatures.
 
 Two sets x and y with Jaccard similarity of at least s differ in at most (1 - s) / (1 + s) * (|x| + |y|) elements, and their sizes in the ratio s at most. For
-each band of sizes the domain is dealt by a hash into numbered parts. A set's content of a part is a token; tokens are ordered by the number
-of their elements, largest first, then by a hash. As similar sets differ in no more tokens than elements, each one's first k + 1 tokens, with k
-the most elements in which a partner can differ, hold a common one: their signature. Sets at the edge of a band take part in the next one too.
+each band of sizes the domain is dealt by a hash into numbered parts. A set's content of a part is a token; tokens are ordered by how common their
+rarest element is, rare ones first, then by the number of their elements, largest first, then by a hash. As similar sets differ in no more tokens than elements, each
+one's first k + 1 tokens, with k the most elements in which a partner can differ, hold a common one: their signature. This holds for any order that depends on the tokens
+alone; that of rare ones first keeps a line that many texts have from making all of them candidates. Sets at the edge of a band take part in the next one too.
 
 Sets that share a signature are candidates. The parity of the number of elements in each cell of a bitmap bounds the difference from below and rules
 out most of them; the others are compared exactly. First only a forest of candidates is compared, then, inside the tasks, the sets of
@@ -13,11 +14,13 @@ each signature that this left apart; only proven links leave a task, fewer than
 from __future__ import annotations
 
 import gc
+import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postweir.llm.buffers import gram_hashes, lower_ascii, mix, slices, text_bytes, word_hashes, words
@@ -32,10 +35,15 @@ ELEMENT_PARTS = 48
 PARTS = 1.5
 #: Members of a signature that are compared in one task; larger ones are dealt into pairs of blocks.
 BLOCK = 1500
+#: Shingles that a task counts together, and how often one must come among them to be counted on.
+CHUNK, REPEATED = 1 << 22, 3
+#: The ranks of common shingles lie in a table of 2 ** RANK_BITS cells, by their first bits; a rank goes from 0 (rare) to LAST_RANK.
+RANK_BITS, LAST_RANK = 22, 15
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
+@cache
 def _seed(*numbers: int) -> np.uint64:
     value = 1
     for n in numbers:
@@ -65,25 +73,31 @@ def cells(size: int) -> int:
     return max(64, 1 << (most_differences(1 << band_of(size)) * 8).bit_length())
 
 
-def signatures(elements: np.ndarray, round_: int = 0) -> tuple[np.ndarray, bool]:
-    """Signatures of a set (distinct 64-bit elements), and whether a band gave it too few tokens for them to be sure."""
+def signatures(elements: np.ndarray, round_: int = 0, ranks: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """Signatures of a set (distinct 64-bit elements), and whether a band gave it too few tokens for them to be sure. `ranks` is a table of common_ranks."""
     size, found, short = len(elements), [], False
     k = most_differences(size)
+    last = np.uint64(LAST_RANK)
+    rank = np.uint64(0) if ranks is None else ranks[elements >> np.uint64(64 - RANK_BITS)].astype(np.uint64)
     for band in bands(size):
+        # an element is 60 bits of a hash and its rank; the hash's first bits are its part
+        marks = mix(elements ^ _seed(round_, band, 1)) & ~last | rank
+        marks.sort()
         if (1 << band) <= ELEMENT_PARTS:
-            tokens = mix(elements ^ _seed(round_, band, 1))
-            tokens.sort()
+            tokens = (marks & last) << np.uint64(60) | mix(marks) >> np.uint64(8)
         else:
-            parts = mix(elements ^ _seed(round_, band, 2)) % np.uint64(int(PARTS * (1 << band)))
-            order = np.argsort(parts)
-            parts = parts[order]
-            first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
-            counts = np.diff(np.append(first, size))
-            tokens = mix(np.add.reduceat(mix(elements[order] ^ _seed(round_, band, 3)), first) + parts[first] * np.uint64(_GOLDEN))
-            tokens = tokens[np.lexsort((tokens, -counts))]
+            parts = (marks >> np.uint64(32)) * np.uint64(int(PARTS * (1 << band))) >> np.uint64(32)
+            new = np.empty(size + 1, bool)
+            new[0] = new[-1] = True
+            np.not_equal(parts[1:], parts[:-1], out=new[1:-1])
+            first = np.flatnonzero(new)
+            counts, first = first[1:] - first[:-1], first[:-1]
+            least = np.minimum.reduceat(marks & last, first)
+            tokens = least << np.uint64(60) | np.maximum(15 - counts, 0).astype(np.uint64) << np.uint64(56) | mix(np.add.reduceat(marks, first)) >> np.uint64(8)
+        tokens.sort()
         short |= len(tokens) <= k
         found.append(mix(tokens[: k + 1] ^ _seed(round_, band, 4)))
-    return np.unique(np.concatenate(found)), short
+    return np.concatenate(found), short
 
 
 def bitmap(elements: np.ndarray, n_cells: int) -> np.ndarray:
@@ -92,15 +106,24 @@ def bitmap(elements: np.ndarray, n_cells: int) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=n_cells) & 1).astype(np.uint8))
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-    """The distinct shingles of each text; of fewer words, the whole sequence; without words, none."""
+def shingles(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The shingles of the texts with the bounds of each text's, and the hashes of their words with the bounds of each text's."""
     data = lower_ascii(data)
     starts, ends, word_bounds = words(data, bounds)
     hashes = word_hashes(data, starts, ends)
-    grams, gram_bounds = gram_hashes(hashes, word_bounds, SHINGLE)
+    return *gram_hashes(hashes, word_bounds, SHINGLE), hashes, word_bounds
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct shingles of each text; of fewer words, the whole sequence; without words, none."""
+    grams, gram_bounds, hashes, word_bounds = shingles(data, bounds)
     for i in range(len(bounds) - 1):
         if gram_bounds[i + 1] > gram_bounds[i]:
-            yield np.unique(grams[gram_bounds[i] : gram_bounds[i + 1]])
+            every = grams[gram_bounds[i] : gram_bounds[i + 1]]
+            every.sort()
+            new = np.empty(len(every), bool)
+            new[0], new[1:] = True, every[1:] != every[:-1]
+            yield every[new]
         else:
             few = hashes[word_bounds[i] : word_bounds[i + 1]]
             total = np.uint64(len(few))
@@ -120,10 +143,50 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def _signed(docs: DataFrame, round_: int) -> DataFrame:
+def _repeated(grams: list[np.ndarray]) -> pa.RecordBatch:
+    """(cell, n): how often the shingles of a cell come that come REPEATED times at least."""
+    every = np.concatenate([np.zeros(0, np.uint64), *grams])
+    grams.clear()
+    every.sort()
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(every), 1), bool), every[1:] != every[:-1]]))
+    times = np.diff(np.append(first, len(every)))
+    often = times >= REPEATED
+    cells_ = (every[first[often]] >> np.uint64(64 - RANK_BITS)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(cells_, pa.int32()), pa.array(times[often], pa.int64())], ["cell", "n"])
+
+
+def common_ranks(docs: DataFrame) -> np.ndarray:
+    """The ranks of shingles by the first bits of their hashes, from how often they come in all texts: 0 below 16 times, then one more with each doubling.
+
+    Tasks send only what comes repeatedly among some millions of shingles, summed by cells, so no more than the table's cells reach the driver. Signatures are
+    right with any ranks that all sets share; they only spare candidates.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(0))
+            for i, j in slices(bounds):
+                held.append(shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0])
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield _repeated(held)
+                    size = 0
+        yield _repeated(held)
+
+    counted = _texts(docs).select("text").mapInArrow(count, "cell int, n long")
+    often = counted.groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 16").toArrow()
+    ranks = np.zeros(1 << RANK_BITS, np.uint8)
+    ranks[often.column("cell").to_numpy()] = np.minimum(np.log2(often.column("n").to_numpy()).astype(np.int64) - 3, LAST_RANK)
+    return ranks
+
+
+def _signed(docs: DataFrame, round_: int, ranks: np.ndarray) -> DataFrame:
     """(doc_id, text_hash, n, code, short, signatures, bitmap). Of equal sets in a task only the first has signatures."""
+    packed = zlib.compress(ranks, 1)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        ranks = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
             for i, j in slices(bounds):
@@ -132,7 +195,7 @@ def _signed(docs: DataFrame, round_: int) -> DataFrame:
                     code, short, marks, map_ = set_code(elements), False, np.zeros(0, np.uint64), b""
                     if len(elements) and code not in seen:
                         seen.add(code)
-                        marks, short = signatures(elements, round_)
+                        marks, short = signatures(elements, round_, ranks)
                         sizes = sorted({cells(1 << b) for b in bands(len(elements))})  # one bitmap for each band
                         map_ = b"".join(bitmap(elements, c).tobytes() for c in sizes)
                     for column, value in zip(out, (len(elements), code, short, marks.view(np.int64), map_), strict=True):
@@ -372,9 +435,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     root = scratch_path(spark, "near")
+    ranks = common_ranks(docs)
     for round_ in range(20):
         path = f"{root}/signed{round_}"
-        _signed(docs, round_).write.parquet(path)
+        _signed(docs, round_, ranks).write.parquet(path)
         signed = spark.read.parquet(path)
         if signed.where("short").isEmpty():
             break
@@ -434,10 +498,68 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return spark.read.parquet(result)
 
 
+#: Rows (signature, code) that a task deals into buckets together, and of a bucket, about.
+DEALT, BUCKET = 1 << 19, 1 << 18
+
+
 def _members(signed: DataFrame) -> DataFrame:
-    """(signature, code), once each, of the signatures that two or more sets share."""
-    each = Window.partitionBy("signature").orderBy("code")
-    whole = each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = signed.select(F.explode("signatures").alias("signature"), "code")
-    seen = rows.withColumns({"before": F.lag("code").over(each), "x": F.first("code").over(whole), "y": F.last("code").over(whole)})
-    return seen.where("x <> y AND (before IS NULL OR before <> code)").select("signature", "code")
+    """(signature, code), once each, of the signatures that two or more sets share.
+
+    The rows travel as packed arrays, sorted and dealt by the first bits of the signature into buckets; a task holds one bucket at a time. More sets make more buckets.
+    """
+    total = signed.agg(F.sum(F.size("signatures"))).first()[0] or 0
+    bits = max(1, (total // BUCKET).bit_length())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            marks = batch.column(0)
+            codes = np.repeat(batch.column(1).to_numpy(), np.diff(marks.offsets.to_numpy()))
+            held.append(np.stack([marks.values.to_numpy()[marks.offsets[0].as_py() : marks.offsets[-1].as_py()], codes]))
+            size += len(codes)
+            if size >= DEALT:
+                yield _buckets(held, bits)
+                held, size = [], 0
+        yield _buckets(held, bits)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for here, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if here != bucket:
+                    yield _shared(held)
+                    bucket, held = here, []
+                held.append(np.frombuffer(rows.as_buffer(), np.int64).reshape(2, -1))
+        yield _shared(held)
+
+    dealt = signed.where(F.size("signatures") > 0).select("signatures", "code").mapInArrow(deal, "bucket int, rows binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(share, "signature long, code long")
+
+
+def _buckets(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """(bucket, rows): rows (signature, code) by the first bits of the signature."""
+    rows = np.concatenate([np.zeros((2, 0), np.int64), *held], 1)
+    rows = rows[:, np.argsort(rows[0].view(np.uint64))]
+    buckets = (rows[0].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+    cuts = np.flatnonzero(np.diff(buckets)) + 1
+    parts = np.split(rows, cuts, 1) if len(buckets) else []
+    numbers = buckets[np.concatenate([[0], cuts])] if len(buckets) else []
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["bucket", "rows"])
+
+
+def _shared(held: list[np.ndarray]) -> pa.RecordBatch:
+    """The rows (signature, code) of a bucket whose signature has another code, once each."""
+    rows = np.concatenate([np.zeros((2, 0), np.int64), *held], 1)
+    rows = rows[:, np.argsort(rows[0])]
+    rows = rows[:, _repeats(rows[:1])]
+    rows = rows[:, np.lexsort(rows[::-1])]
+    rows = rows[:, ~_repeats(rows, True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, _repeats(rows[:1])]], ["signature", "code"])
+
+
+def _repeats(rows: np.ndarray, before: bool = False) -> np.ndarray:
+    """Which columns of a sorted array are equal to a column beside them, or to the one before."""
+    same = (rows[:, 1:] == rows[:, :-1]).all(0) if rows.shape[1] else np.zeros(0, bool)
+    none = np.zeros(min(rows.shape[1], 1), bool)
+    after = np.concatenate([none, same])
+    return after if before else after | np.concatenate([same, none])

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from postweir.llm import partenum, repeats
 from tests.llm import cases
@@ -94,6 +95,25 @@ def test_similar_sets_share_a_signature():
                 assert members[0].may_match(members[1])
 
 
+def test_common_passages_make_no_candidates(spark):
+    """Texts that share a passage and nothing else have no signature in common, as common shingles come last; any ranks leave similar sets one."""
+    rng = random.Random(3)
+    passage = " ".join(f"all{i}" for i in range(60))
+    texts = [" ".join(f"own{rng.randrange(1 << 40)}" for _ in range(160)) + " " + passage for _ in range(150)]
+    texts += [texts[0] + " more", texts[1].replace("all", "ALL") + " at the end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ranks = partenum.common_ranks(docs)
+    assert partenum._members(partenum._signed(docs, 0, ranks * 0)).groupBy("signature").count().agg(F.max("count")).first()[0] > 50
+    assert partenum._members(partenum._signed(docs, 0, ranks)).groupBy("signature").count().agg(F.max("count")).first()[0] == 2
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(docs).collect()}
+    assert got == {i: i - 150 if i >= 150 else i for i in range(152)}
+    table = np.random.default_rng(4).integers(0, partenum.LAST_RANK + 1, 1 << partenum.RANK_BITS).astype(np.uint8)
+    x = np.random.default_rng(5).integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2)
+    for size in (8, 40, 100, 300, 700):
+        a, b = (partenum.signatures(s, 0, table)[0] for s in (x[:size], x[: -(-size * 75 // 100)]))
+        assert len(np.intersect1d(a, b))
+
+
 def expected_removals(texts: list[str | None]) -> list[tuple]:
     raws, count = [(t or "").encode() for t in texts], Counter()
     for raw in raws:
