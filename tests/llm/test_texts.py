@@ -70,6 +70,20 @@ def test_neighbours_decide_inside_the_article(spark):
     assert {r.n_shared for r in pages.extract_text(spark.createDataFrame(mirrors, PAGES)).collect()} == {4}
 
 
+def test_neighbours_are_those_of_the_whole_host(spark, monkeypatch):
+    """Paths of a host that end or begin differently are neighbours too, in one range or in many, and pages of other hosts are not."""
+    page = "<body><div>Site of news</div><div>{}</div><div>All rights kept</div></body>"
+    paths = ["", "/a", "/about/us", "/blog/2020/first", "/contact", "/en/1", "/en/100", "/en/100", "/fr/7", "/index.php?id=3", "/index.php?id=4", "/z"]
+    rows = [(i, f"http://h.example{p}", page.format(f"story {i}"), "") for i, p in enumerate(paths)]
+    rows += [(100, "http://a.example/a", page.format("alone"), ""), (101, "http://z.example/z", page.format("alone"), ""), (None, None, page.format("no name"), "")]
+    lonely = "Site of news {} All rights kept"
+    want = {i: f"story {i}" for i in range(len(paths))} | {100: lonely.format("alone"), 101: lonely.format("alone"), None: lonely.format("no name")}
+    assert extract(spark, rows) == want
+    for ranges in (1, 40):
+        monkeypatch.setattr(pages, "RANGES", ranges)
+        assert extract(spark, rows) == want
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(400):
